@@ -49,3 +49,21 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``groups`` (doc_id, text_sha256, kept) keeps, with all their columns."""
+    who, sha = free_name(docs, "doc_id_"), free_name(docs, "sha_")
+    both = [F.col("doc_id").alias(who), F.col("text_sha256").alias(sha)]
+    # rows repeated with id and text: one of them stays, so they are among the dropped and the kept
+    states = groups.groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("not all")
+    gone = written(states.select(*both, "any"), "gone")
+    again = gone.filter("any").drop("any")
+    keyed = docs.withColumns({who: F.col(f"`{doc_id}`").cast("long"), sha: F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)})
+    same = (F.col(f"a.{who}").eqNullSafe(F.col(f"b.{who}"))) & (F.col(f"a.{sha}") == F.col(f"b.{sha}"))
+    kept = keyed.alias("a").join(gone.drop("any").alias("b"), same, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if again.isEmpty():
+        return kept
+    rows = keyed.alias("a").join(again.alias("b"), same, "left_semi")
+    one = rows.groupBy(who, sha).agg(F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row")).select("row.*")
+    return kept.unionByName(one)

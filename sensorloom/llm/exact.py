@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, scratch, text_or_empty, written
+from .common import kept_rows, scratch, text_or_empty, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -99,18 +99,4 @@ def collisions(whole: DataFrame, rows: DataFrame, classes: DataFrame, key, keep_
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=None) -> DataFrame:
     """The rows of ``docs`` that stay, whole, with all their columns."""
-    groups = exact_groups(docs, text, doc_id, digest)
-    who, sha = free_name(docs, "doc_id_"), free_name(docs, "sha_")
-    gone = written(groups.filter(~F.col("kept")).select(F.col("doc_id").alias(who), F.col("text_sha256").alias(sha)), "exact-gone").distinct()
-    # rows repeated with id and text: one of them stays, so their (id, text) is among the dropped and the kept
-    again = written(groups.filter("kept").select(F.col("doc_id").alias(who), F.col("text_sha256").alias(sha)).intersect(gone), "exact-again")
-    keyed = docs.withColumns({who: F.col(f"`{doc_id}`").cast("long"), sha: F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)})
-    same = F.expr("true")
-    a, b = keyed.alias("a"), gone.alias("b")
-    same = F.col(f"a.{who}").eqNullSafe(F.col(f"b.{who}")) & (F.col(f"a.{sha}") == F.col(f"b.{sha}"))
-    kept = a.join(b, same, "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    c = again.alias("b")
-    one = a.join(c, same, "left_semi").groupBy(who, sha).agg(*[F.first(F.col(f"`{x}`")).alias(x) for x in docs.columns])
-    return kept.unionByName(one.select(*docs.columns))
+    return kept_rows(docs, exact_groups(docs, text, doc_id, digest), text, doc_id)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, topk, warc
+from . import bpe, exact, near, packing, topk, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(docs, public_tokenizers.path(WORD_BPE))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -36,7 +40,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op3_token_counts, op6_warc, op8_packing, op9_exact_dedup, op10_exact_topk)
+    ops = (op3_token_counts, op5_near_dedup, op6_warc, op8_packing, op9_exact_dedup, op10_exact_topk)
     return {f.__name__: f for f in ops}
 
 
