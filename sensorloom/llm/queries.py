@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, near, packing, topk, warc
+from . import bpe, exact, lattice, near, packing, topk, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op2_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op3_token_counts, op5_near_dedup, op6_warc, op8_packing, op9_exact_dedup, op10_exact_topk)
+    ops = (op2_lattice_scores, op3_token_counts, op5_near_dedup, op6_warc, op8_packing, op9_exact_dedup, op10_exact_topk)
     return {f.__name__: f for f in ops}
 
 
