@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lattice, near, packing, topk, warc
+from . import bpe, exact, lattice, mixing, near, packing, pii, quality, topk, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
+#: Wanted shares of tokens by language.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -24,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(docs, public_tokenizers.path(WORD_BPE))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -44,8 +58,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_lattice_scores, op3_token_counts, op5_near_dedup, op6_warc, op8_packing, op9_exact_dedup, op10_exact_topk)
+    ops = (op1_quality, op2_lattice_scores, op3_token_counts, op4_mixing, op5_near_dedup, op6_warc, op7_pii, op8_packing, op9_exact_dedup, op10_exact_topk, pipeline)
     return {f.__name__: f for f in ops}
 
 
