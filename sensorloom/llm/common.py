@@ -51,19 +51,39 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of the filter below: a table of 4 MB at any size of the input.
+FILTER_BITS = 1 << 25
+
+
+def flagged(df: DataFrame, key, listed: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column ``flag``: false where ``key`` (a text column) is surely not in ``listed`` (one text column).
+
+    A bit for each hash, in a broadcast table of a fixed size.  It keeps rows that no join needs out of a
+    shuffle; where very many keys are listed it lets more through, and the join behind it decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bucket, bit = free_name(df, "bucket_"), free_name(df, "bit_")
+    bits = listed.select(place(F.col(listed.columns[0])).alias("at")).groupBy(F.floor(F.col("at") / 32768).alias(bucket)).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias(bit))
+    at = place(key)
+    byte = F.conv(F.hex(F.substring(F.col(bit), F.floor(at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return df.withColumn(bucket, F.floor(at / 32768)).join(F.broadcast(bits), bucket, "left").withColumn(flag, on).drop(bucket, bit)
+
+
 def kept_rows(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``groups`` (doc_id, text_sha256, kept) keeps, with all their columns."""
-    who, sha = free_name(docs, "doc_id_"), free_name(docs, "sha_")
-    both = [F.col("doc_id").alias(who), F.col("text_sha256").alias(sha)]
+    key, flag = free_name(docs, "key_"), free_name(docs, "flag_")
+    name = lambda who, sha: F.concat_ws("/", sha, F.coalesce(who.cast("string"), F.lit("")))
     # rows repeated with id and text: one of them stays, so they are among the dropped and the kept
-    states = groups.groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("not all")
-    gone = written(states.select(*both, "any"), "gone")
+    states = groups.groupBy(name(F.col("doc_id"), F.col("text_sha256")).alias(key)).agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("not all")
+    gone = written(states.select(key, "any"), "gone")
     again = gone.filter("any").drop("any")
-    keyed = docs.withColumns({who: F.col(f"`{doc_id}`").cast("long"), sha: F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)})
-    same = (F.col(f"a.{who}").eqNullSafe(F.col(f"b.{who}"))) & (F.col(f"a.{sha}") == F.col(f"b.{sha}"))
-    kept = keyed.alias("a").join(gone.drop("any").alias("b"), same, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    sha = F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)
+    keyed = flagged(docs.withColumn(key, name(F.col(f"`{doc_id}`").cast("long"), sha)), F.col(key), gone.select(key), flag)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = keyed.filter(flag)
+    kept = keyed.filter(~F.col(flag)).select(*columns).unionByName(maybe.join(gone.select(key).hint("merge"), key, "left_anti").select(*columns))
     if again.isEmpty():
         return kept
-    rows = keyed.alias("a").join(again.alias("b"), same, "left_semi")
-    one = rows.groupBy(who, sha).agg(F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row")).select("row.*")
+    one = maybe.join(again.hint("merge"), key, "left_semi").groupBy(key).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
     return kept.unionByName(one)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_rows, scratch, text_or_empty, written
+from .common import flagged, kept_rows, scratch, text_or_empty, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -90,11 +90,12 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
 
 def collisions(whole: DataFrame, rows: DataFrame, classes: DataFrame, key, keep_id) -> bool:
     """Whether a hit's full text differs from that of the row that its digest's state retains."""
-    hits = classes.filter("group_size > 1").select("digest", keep_id.alias("keep_id"))
-    # a written table: Spark broadcasts it only where its size on disk is below the session's limit
-    members = written(whole.withColumn("digest", key).join(written(hits, "exact-hits"), "digest"), "exact-members")
+    hits = written(classes.filter("group_size > 1").select("digest", keep_id.alias("keep_id")), "exact-hits")
+    # of the texts only those that may be hits are shuffled, by the same plan at every size
+    maybe = flagged(whole.withColumn("digest", key), F.col("digest"), hits.select("digest"), "maybe").filter("maybe").drop("maybe")
+    members = written(maybe.join(hits.hint("merge"), "digest"), "exact-members")
     kept = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("retained"))
-    return not members.join(kept, "digest").filter(F.col("text") != F.col("retained")).isEmpty()
+    return not members.join(kept.hint("merge"), "digest").filter(F.col("text") != F.col("retained")).isEmpty()
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=None) -> DataFrame:
