@@ -26,6 +26,8 @@ from .common import text_or_empty, written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
+#: Orders by which the bands choose the centres of their buckets.
+CENTRES = 3
 CELL_BITS = 18
 MEMORY = 500_000
 U = np.uint64
@@ -143,20 +145,25 @@ def scaled_idf(docs: DataFrame) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): components of undirected ``edges`` (a, b), named by their smallest node.
+    """(node, component): connected components of undirected ``edges`` (a, b).
 
-    Labels spread along edges and by pointer jumping; every round is a table in the shared folder.
+    In each round every node moves to its smallest neighbour and edges inside the moved nodes go, so that
+    large classes shrink at once; the moves are then followed from the last round back.
     """
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    moves, left = [], edges
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        new = written(spread.join(jump, "next", "left").select("node", F.least("next", "jump").alias("component"), (F.col("component") != F.least("next", "jump")).alias("moved")), "labels")
-        labels = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return labels
+        near = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = written(near.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "moves")
+        moves.append(move)
+        moved = left.join(move.select(F.col("node").alias("a"), F.col("to").alias("a_to")), "a").select("b", "a_to").join(move.select(F.col("node").alias("b"), F.col("to").alias("b_to")), "b")
+        left = written(moved.filter("a_to != b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            break
+    labels = moves.pop().withColumnRenamed("to", "component")
+    for move in reversed(moves):
+        then = labels.select(F.col("node").alias("to"), "component")
+        labels = written(move.join(then, "to", "left").select("node", F.coalesce("component", "to").alias("component")), "labels")
+    return labels
 
 
 def verified(pairs: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
@@ -209,9 +216,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     # one node for each distinct text, however many rows hold it
     nodes = written(table.groupBy("sha").agg(F.min("row_id").alias("node")), "near-nodes")
     single = table.join(nodes, (table["sha"] == nodes["sha"]) & (table["row_id"] == nodes["node"])).select("node", "doc_id", table["sha"], F.posexplode_outer("keys").alias("band", "key"))
-    places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"))
-    # the centre differs from band to band, so that members of a large class meet many of them
-    buckets = places.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre")).filter("size > 1")
+    places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"), (F.col("band") % CENTRES).alias("turn"))
+    # the centre differs from band to band, so that members of a large class meet several of them
+    buckets = places.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "turn")).alias("centre")).filter("size > 1")
     members = written(places.join(buckets, "bucket"), "near-members")
     stars = written(ordered(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-stars")
     involved = written(members.select("node").distinct().join(table.select(F.col("row_id").alias("node"), "doc_id", "sha"), "node").withColumnRenamed("doc_id", "id"), "near-involved")
@@ -237,10 +244,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
 
 def rarest(rest: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that share one of their rarest shingles.
+    """Pairs (a, b) of one bucket and different components that may be similar enough.
 
     In the order of weight, then hash, a text's first shingles up to (1 - least) of its weight must meet
-    those of any text that is similar enough, so no pair is lost.
+    those of any text that is similar enough.  What of them no other component of the bucket holds is
+    weight that two texts cannot share, so pairs with too much of it are left out.  No pair is lost.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +257,20 @@ def rarest(rest: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
                 h, n = shingles(text.as_py())
                 each = scale.value[(h >> U(64 - CELL_BITS)).astype(np.int64)]
                 order = np.lexsort((h, -each))
-                before = np.cumsum((n * each)[order]) - (n * each)[order]
-                first = h[order][before <= (1 - least) * (n * each).sum() + 1e-9].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), node)), pa.array(first)], names=["node", "shingle"])
+                w = (n * each)[order]
+                k = int(np.searchsorted(np.cumsum(w) - w, (1 - least) * w.sum() + 1e-9, side="right"))
+                first = pa.array(h[order][:k].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, node)), first, pa.array(w[:k]), pa.array(np.full(k, w[:k].sum())), pa.array(np.full(k, w.sum()))], names=["node", "shingle", "w", "prefix", "total"])
 
     needed = texts.join(rest.select("node").distinct(), "node").select("node", "text")
-    listed = written(rest.join(needed.mapInArrow(prefixes, "node long, shingle long"), "node"), "near-prefixes")
+    listed = written(rest.join(needed.mapInArrow(prefixes, "node long, shingle long, w double, prefix double, total double"), "node"), "near-prefixes")
     # a shingle that one component alone holds in its bucket makes no pair
     shared = listed.groupBy("bucket", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "shingle")
     some = written(listed.join(shared, ["bucket", "shingle"]), "near-shared")
-    a = some.select("bucket", "shingle", F.col("node").alias("a"), F.col("component").alias("ac"))
-    b = some.select("bucket", "shingle", F.col("node").alias("b"), F.col("component").alias("bc"))
-    return a.join(b, ["bucket", "shingle"]).filter("a < b and ac != bc").select("a", "b").distinct()
+    own = some.groupBy("bucket", "node").agg((F.first("prefix") - F.sum("w")).alias("own"), F.first("total").alias("total"))
+    able = written(own.filter(F.col("total") - F.col("own") >= least * F.col("total") - 1e-9), "near-able")
+    sides = some.select("bucket", "shingle", "node", "component").join(able, ["bucket", "node"])
+    a = sides.select("bucket", "shingle", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("own").alias("ao"), F.col("total").alias("at"))
+    b = sides.select("bucket", "shingle", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("own").alias("bo"), F.col("total").alias("bt"))
+    fits = (F.col("at") - F.col("ao") >= least * (F.col("at") + F.col("bo")) - 1e-9) & (F.col("bt") - F.col("bo") >= least * (F.col("bt") + F.col("ao")) - 1e-9)
+    return a.join(b, ["bucket", "shingle"]).filter(F.expr("a < b and ac != bc") & fits).select("a", "b").distinct()
