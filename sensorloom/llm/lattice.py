@@ -11,11 +11,14 @@ hence the marginal over all its segmentations.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,11 @@ BASE = U(0x100000001B3)
 START = U(0xCBF29CE484222325)
 MULTIPLY = U(0x9E3779B97F4A7C15)
 END = b""
+#: No token holds a space.
+NOTES = b" notes"
+#: A use of a word: the document's place in its slab, and how often.
+USE = np.dtype([("doc", "<u2"), ("n", "<u4")])
+SLAB_DOCS, MOST_SLABS = 8_192, 256
 
 
 class Pieces:
@@ -257,44 +265,44 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
     spark = docs.sparkSession
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(lists: dict, ids: tuple) -> pa.RecordBatch:
-            rows_, tfs, trains = zip(*lists.values(), strict=True)
-            end = [None] * len(lists)
-            end[list(lists).index(END)] = ids
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(lists), pa.binary()), pa.array(rows_, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32())), pa.array([sum(t) for t in trains], pa.int64()), pa.array([e and e[0] for e in end], pa.list_(pa.int64())), pa.array([e and e[1] for e in end], pa.list_(pa.bool_()))],
-                names=["word", "rows", "tfs", "train", "ids", "held"],
-            )
+        slab = TaskContext.get().partitionId() << 24
+
+        def rows(lists: dict, notes: list) -> pa.RecordBatch:
+            words = sorted(lists)
+            packed = [np.array(lists[w], USE).tobytes() for w in words]
+            train = [sum(n for o, n in lists[w] if not notes[o][1]) for w in words]
+            words, packed, train = [*words, NOTES], [*packed, noted(notes)], [*train, 0]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([slab] * len(words), pa.int64()), pa.array(train, pa.int64()), pa.array(packed, pa.binary())], names=["word", "slab", "train", "uses"])
 
         lists: dict = {}
-        ids: tuple = ([], [])
+        notes: list = []
         size = 0
         for batch in batches:
-            texts = batch.column(3).cast(pa.large_binary() if pa.types.is_large_string(batch.column(3).type) else pa.binary())
-            for who, held, row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
+            texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.column(2).type) else pa.binary())
+            for who, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 found = Counter(t.as_py().lower().split())
                 found[END] = 1
-                ids[0].append(who)
-                ids[1].append(held)
+                at = len(notes)
+                notes.append((who, held, sum(found.values())))
                 for w, n in found.items():
-                    entry = lists.get(w)
-                    if entry is None:
-                        entry = lists[w] = ([], [], [])
-                    entry[0].append(row)
-                    entry[1].append(n)
-                    if not held:
-                        entry[2].append(n)
+                    if w in lists:
+                        lists[w].append((at, n))
+                    else:
+                        lists[w] = [(at, n)]
                 size += len(found)
-                if size > 1_500_000:
-                    yield rows(lists, ids)
-                    lists, ids, size = {}, ([], []), 0
-        if lists:
-            yield rows(lists, ids)
-
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (crc_mod(f"`{doc_id}`", modulus) == held_out).alias("held_out"), F.monotonically_increasing_id().alias("row_id"), text_or_empty(f"`{text}`").alias("text"))
-    # postings of each word by parts of the input: the only pass over the texts
-    postings = written(source.mapInArrow(counted, "word binary, rows array<long>, tfs array<int>, train long, ids array<long>, held array<boolean>"), "postings")
-    words = written(postings.groupBy("word").agg(F.sum("train").alias("c")), "words")
+                if size > 1_500_000 or len(notes) == SLAB_DOCS:
+                    yield rows(lists, notes)
+                    lists, notes, size = {}, [], 0
+                    slab += 1
+        if notes:
+            yield rows(lists, notes)
+
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (crc_mod(f"`{doc_id}`", modulus) == held_out).alias("held_out"), text_or_empty(f"`{text}`").alias("text"))
+    # each word's uses by slabs of documents: the only pass over the texts
+    postings = written(source.mapInArrow(counted, "word binary, slab long, train long, uses binary"), "postings")
+    notes = postings.filter(F.col("word") == F.lit(NOTES))
+    uses = postings.filter(F.col("word") != F.lit(NOTES))
+    words = written(uses.groupBy("word").agg(F.sum("train").alias("c")), "words")
     of_count = [F.count_if(F.col("c") == k) for k in (1, 2)]
     total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), *of_count).first()
     n_train, distinct, once, twice = (int(x or 0) for x in total)
@@ -320,14 +328,79 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c), pa.array(lp)], names=["word", "c", "lp"])
 
     each = words.mapInArrow(scored, "word binary, c long, lp double")
-    base = F.log10((F.col("c") + 1) / F.lit(float(n_train + distinct + 1)))
-    use = F.explode(F.arrays_zip("rows", "tfs", F.coalesce("ids", F.array_repeat(F.lit(None).cast("long"), 0)).alias("ids"), F.coalesce("held", F.array_repeat(F.lit(None).cast("boolean"), 0)).alias("held"))).alias("u")
-    uses = postings.drop("train").join(each, "word").select(base.alias("base"), "lp", (F.col("c") > 0).alias("known"), use)
-    tf = F.col("u.tfs")
-    sums = uses.groupBy(F.col("u.rows").alias("row_id")).agg(
-        F.max("u.ids").alias("doc_id"), F.max("u.held").alias("held_out"), F.sum(tf).alias("n_tokens"), F.sum(F.when(F.col("known"), tf).otherwise(0)).alias("n_known"), F.sum(tf * F.col("base")).alias("base_score"), F.sum(tf * F.col("lp")).alias("score")
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    least = float(n_train + distinct + 1)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a document's known tokens and log probabilities over the words of this task, by slab."""
+        slots: dict[int, int] = {}
+        known, base, score = (np.zeros(MOST_SLABS * SLAB_DOCS, t) for t in (np.int64, float, float))
+
+        def rows() -> pa.RecordBatch:
+            last = [int(np.flatnonzero(base[k * SLAB_DOCS : (k + 1) * SLAB_DOCS])[-1]) + 1 for k in slots.values()]  # no base is 0
+            cut = lambda x: pa.array([x[k * SLAB_DOCS : k * SLAB_DOCS + n].tobytes() for k, n in zip(slots.values(), last, strict=True)], pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.nulls(len(slots), pa.binary()), cut(known), cut(base), cut(score)], names=["slab", "notes", "known", "base", "score"])
+            for x in (known, base, score):
+                x[:] = 0
+            slots.clear()
+            return out
+
+        for batch in batches:
+            slab, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // USE.itemsize
+            ids, place = np.unique(slab, return_inverse=True)
+            if slots and len(slots) + len(ids) > MOST_SLABS:
+                yield rows()
+            for k in range(0, len(ids), MOST_SLABS):  # one round, but for batches of very many slabs
+                if k:
+                    yield rows()
+                for x in ids[k : k + MOST_SLABS]:
+                    slots.setdefault(int(x), len(slots))
+                own = (place >= k) & (place < k + MOST_SLABS)
+                first = np.array([slots.get(int(x), 0) * SLAB_DOCS for x in ids], np.int64)[place[own]]
+                c, lp, n_uses = batch.column(2).to_numpy()[own], batch.column(3).to_numpy()[own], sizes[own]
+                u = np.frombuffer(b"".join(b for b, o in zip(batch.column(1).to_pylist(), own, strict=True) if o), USE)
+                at, n = np.repeat(first, n_uses) + u["doc"], u["n"].astype(np.int64)
+                np.add.at(known, at, np.where(np.repeat(c > 0, n_uses), n, 0))
+                np.add.at(base, at, n * np.repeat(np.log10((c + 1) / least), n_uses))
+                np.add.at(score, at, n * np.repeat(lp, n_uses))
+        if slots:
+            yield rows()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each slab's parts, which follow one another, beside the notes on its documents."""
+
+        def rows(notes: list, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            k = len(notes)
+            columns = [[x[i] for x in notes] for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(known[:k]), pa.array([n_train] * k, pa.int64()), pa.array(base[:k]), pa.array(score[:k])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        now, notes, sums = None, None, None
+        for batch in batches:
+            for slab, note, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slab != now:
+                    if now is not None:
+                        yield rows(notes, *sums)
+                    now, notes, sums = slab, None, [np.zeros(SLAB_DOCS, t) for t in (np.int64, float, float)]
+                if note is not None:
+                    notes = read_notes(note)
+                else:
+                    for x, p in zip(sums, parts, strict=True):
+                        x[: len(p) // x.itemsize] += np.frombuffer(p, x.dtype)
+        if now is not None:
+            yield rows(notes, *sums)
+
+    empty = F.lit(None).cast("binary")
+    sums = uses.join(each, "word").select("slab", "uses", "c", "lp").mapInArrow(summed, "slab long, notes binary, known binary, base binary, score binary")
+    both = sums.unionByName(notes.select("slab", F.col("uses").alias("notes"), empty.alias("known"), empty.alias("base"), empty.alias("score")))
+    return both.repartition("slab").sortWithinPartitions("slab").mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def noted(rows: list[tuple]) -> bytes:
+    """(id or null, held out, tokens) of documents, as JSON."""
+    return json.dumps([[a, int(b), c] for a, b, c in rows]).encode()
+
+
+def read_notes(text: bytes) -> list[tuple]:
+    return [(a, bool(b), c) for a, b, c in json.loads(text)]
 
 
 def learnt(words: DataFrame, pieces: Pieces, rounds: int) -> np.ndarray:
