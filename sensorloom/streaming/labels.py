@@ -19,5 +19,5 @@ def labelled_stream(samples: DataFrame, tags: DataFrame, near: int, buffer: int)
     t = tags.withColumnRenamed("pid", "tag_pid").withWatermark("tag_ts", f"{buffer} seconds")
     joined = s.join(t, (F.col("pid") == F.col("tag_pid")) & (F.col("tag_ts") >= F.col("ts") - span) & (F.col("tag_ts") <= F.col("ts") + span), "leftOuter")
     d = F.col("tag_ts").cast("double") - F.col("ts").cast("double")
-    found = joined.groupBy("pid", "ts", "x", F.window("ts", "1 second").alias("w")).agg(F.min(F.when(d >= 0, d)).alias("after"), F.min(F.when(d <= 0, -d)).alias("before"))
+    found = joined.groupBy("pid", "ts", "x").agg(F.min(F.when(d >= 0, d)).alias("after"), F.min(F.when(d <= 0, -d)).alias("before"))
     return found.select("pid", "ts", "x", before_only(near, buffer).alias("y"))
