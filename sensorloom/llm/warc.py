@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ END = "\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: str, number: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}#{number}')}>"
+def record_id(row: str, number: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{row}#{number}')}>"
 
 
 def chunked(payload: str) -> str:
@@ -74,20 +75,20 @@ def record(kind: str, block: str, **fields: object) -> str:
     return f"WARC/1.1{END}" + "".join(f"{k}: {v}{END}" for k, v in head.items()) + END + block
 
 
-def page_records(page: str, url: str, payload: str, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[str]:
-    """The record of a page and its continuation records."""
+def page_records(row: str, page: str, url: str, payload: str, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[str]:
+    """The record of a page and its continuation records; ``row`` names the row, since ids may repeat."""
     size = len(payload.encode("utf-8", "replace"))
     named = {"WARC_Target_URI": re.sub(r"[\r\n]+", " ", url), "X_Page_Id": page, "WARC_Payload_Digest": f"sha256:{digest}"}
     if refers_to is not None:
-        yield record("revisit", f"HTTP/1.1 200 OK{END}Content-Length: {size}{END}{END}", WARC_Record_ID=record_id(page), WARC_Refers_To=record_id(refers_to), X_Refers_To_Page=refers_to, **named, Content_Type="application/http; msgtype=response")
+        yield record("revisit", f"HTTP/1.1 200 OK{END}Content-Length: {size}{END}{END}", WARC_Record_ID=record_id(row), X_Refers_To_Page=refers_to, **named, Content_Type="application/http; msgtype=response")
         return
     block = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Transfer-Encoding: chunked{END}{END}" + chunked(payload)
     parts = segments(block, segment_bytes)
     more = {"WARC_Segment_Number": 1} if len(parts) > 1 else {}
-    yield record("response", parts[0], WARC_Record_ID=record_id(page), **named, Content_Type="application/http; msgtype=response", **more)
+    yield record("response", parts[0], WARC_Record_ID=record_id(row), **named, Content_Type="application/http; msgtype=response", **more)
     for n, part in enumerate(parts[1:], 2):
         last = {"WARC_Segment_Total_Length": len(block.encode("utf-8", "replace"))} if n == len(parts) else {}
-        yield record("continuation", part, WARC_Record_ID=record_id(page, n), WARC_Segment_Origin_ID=record_id(page), WARC_Segment_Number=n, **last)
+        yield record("continuation", part, WARC_Record_ID=record_id(row, n), WARC_Segment_Origin_ID=record_id(row), WARC_Segment_Number=n, **last)
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -106,10 +107,11 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     joined = rows.join(written(again, "payloads"), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for page, uri, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = "" if page is None else str(page)
-                found = list(page_records(text, uri, payload, digest, None if refers is None else str(refers), segment_bytes))
+                text, n = "" if page is None else str(page), n + 1
+                found = list(page_records(f"{text}/{part}/{n}", text, uri, payload, digest, None if refers is None else str(refers), segment_bytes))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
 
     joined.mapInArrow(records, "value string").write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
