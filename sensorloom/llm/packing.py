@@ -11,7 +11,9 @@ does not depend on the data.  Pieces then find their place by their rank among e
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -27,7 +29,7 @@ from .common import text_or_empty, written
 CAPACITY = 2048
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
-MEMORY = 400_000
+MEMORY = 1_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -109,13 +111,13 @@ class Encoder:
                 yield self.ids(text)
                 continue
             words = text.split()
-            missing = list({w for w in words if w not in self.new})
+            missing = list(set(words).difference(self.new))
             if missing:
                 if len(self.new) > MEMORY:
                     self.new = {}
                     missing = list(set(words))
                 for w, e in zip(missing, self.encoder.encode_batch(missing, add_special_tokens=False), strict=True):
-                    self.new[w] = np.array(e.ids, dtype="<u4").tobytes()
+                    self.new[w] = array("I", e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, dtype="<u4").tobytes()
             yield b"".join(map(self.new.__getitem__, words))
 
 
