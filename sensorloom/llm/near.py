@@ -18,10 +18,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import flagged, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -222,8 +222,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     members = written(places.join(buckets, "bucket"), "near-members")
     stars = written(ordered(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-stars")
     involved = written(members.select("node").distinct().join(table.select(F.col("row_id").alias("node"), "doc_id", "sha"), "node").withColumnRenamed("doc_id", "id"), "near-involved")
-    # the texts of bucket members alone; spark broadcasts their list only if it is small on disk
-    texts = written(whole.join(involved, "sha").filter(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.max("text").alias("text")), "near-texts")
+    # only the texts of bucket members are shuffled, by one plan at every size
+    maybe = flagged(whole, F.col("sha"), involved.select("sha"), "maybe").filter("maybe").drop("maybe")
+    texts = written(maybe.join(involved.hint("merge"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.max("text").alias("text")), "near-texts")
     tested = written(verified(stars, texts, scale, least), "near-tested")
     links = tested.filter("linked").select("a", "b")
     classes = components(links)
@@ -244,33 +245,33 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
 
 def rarest(rest: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may be similar enough.
+    """Pairs (a, b) of nodes of different components of ``rest`` (bucket, node, component) that may be similar enough.
 
-    In the order of weight, then hash, a text's first shingles up to (1 - least) of its weight must meet
-    those of any text that is similar enough.  What of them no other component of the bucket holds is
-    weight that two texts cannot share, so pairs with too much of it are left out.  No pair is lost.
+    Shingles that one component alone holds are weight that two texts of a pair cannot share.  The others are
+    ordered by how many nodes hold them, counted exactly, then by hash.  A text's first ones, as long as what goes
+    before them and its unshared weight stay within (1 - least) of its weight, meet those of any text that is similar
+    enough; a meeting counts only if what comes after it on both sides would still do.  The first common shingle of
+    two similar texts always counts, so no pair is lost.
     """
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h, n = shingles(text.as_py())
-                each = scale.value[(h >> U(64 - CELL_BITS)).astype(np.int64)]
-                order = np.lexsort((h, -each))
-                w = (n * each)[order]
-                k = int(np.searchsorted(np.cumsum(w) - w, (1 - least) * w.sum() + 1e-9, side="right"))
-                first = pa.array(h[order][:k].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, node)), first, pa.array(w[:k]), pa.array(np.full(k, w[:k].sum())), pa.array(np.full(k, w.sum()))], names=["node", "shingle", "w", "prefix", "total"])
-
-    needed = texts.join(rest.select("node").distinct(), "node").select("node", "text")
-    listed = written(rest.join(needed.mapInArrow(prefixes, "node long, shingle long, w double, prefix double, total double"), "node"), "near-prefixes")
-    # a shingle that one component alone holds in its bucket makes no pair
-    shared = listed.groupBy("bucket", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "shingle")
-    some = written(listed.join(shared, ["bucket", "shingle"]), "near-shared")
-    own = some.groupBy("bucket", "node").agg((F.first("prefix") - F.sum("w")).alias("own"), F.first("total").alias("total"))
-    able = written(own.filter(F.col("total") - F.col("own") >= least * F.col("total") - 1e-9), "near-able")
-    sides = some.select("bucket", "shingle", "node", "component").join(able, ["bucket", "node"])
-    a = sides.select("bucket", "shingle", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("own").alias("ao"), F.col("total").alias("at"))
-    b = sides.select("bucket", "shingle", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("own").alias("bo"), F.col("total").alias("bt"))
-    fits = (F.col("at") - F.col("ao") >= least * (F.col("at") + F.col("bo")) - 1e-9) & (F.col("bt") - F.col("bo") >= least * (F.col("bt") + F.col("ao")) - 1e-9)
-    return a.join(b, ["bucket", "shingle"]).filter(F.expr("a < b and ac != bc") & fits).select("a", "b").distinct()
+                w = weights(h, n, scale.value)
+                k = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, node)), pa.array(np.full(k, component)), pa.array(h.view(np.int64)), pa.array(w), pa.array(np.full(k, w.sum()))], names=["node", "component", "shingle", "w", "total"])
+
+    needed = rest.select("node", "component").distinct().join(texts, "node").select("node", "component", "text")
+    every = written(needed.mapInArrow(listed, "node long, component long, shingle long, w double, total double"), "near-shingles")
+    held = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = every.join(held.filter("low != high").select("shingle", "n"), "shingle")
+    node = Window.partitionBy("node")
+    before = F.sum("w").over(node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    lost = F.col("total") - F.sum("w").over(node) + before  # weight without a partner if this shingle is the first common one
+    first = shared.withColumn("lost", lost).filter(F.col("lost") <= (1 - least) * F.col("total") + 1e-9)
+    first = written(first.select("shingle", "node", "component", "total", (F.col("total") - F.col("lost")).alias("left")), "near-prefixes")
+    a = first.select("shingle", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("left").alias("al"), F.col("total").alias("at"))
+    b = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("left").alias("bl"), F.col("total").alias("bt"))
+    enough = (1 + least) * F.least("al", "bl") >= least * (F.col("at") + F.col("bt")) - 1e-9
+    return a.join(b, "shingle").filter(F.expr("a < b and ac != bc") & enough).select("a", "b").distinct()
