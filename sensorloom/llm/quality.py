@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_or_empty
+from .common import crc_mod, text_or_empty, written
 
 MODULUS, HELD_OUT = 4, 2
 #: Most labelled rows that the fit takes, by the order of a hash of their ids.
@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = usable.groupBy("who").agg(F.max("y").alias("y")).orderBy(F.xxhash64("who"), "who").limit(sample)
     rows = spark.createDataFrame(chosen.toArrow()) if sample else usable.limit(0)  # at most ``sample`` narrow rows
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("who"), text_or_empty(f"`{text}`").alias("text"))
-    found = whole.join(F.broadcast(rows), "who").select("text", "y").coalesce(8)
+    # the documents are read by as many tasks as they have parts; the sample, a table by then, in 8
+    found = written(whole.join(F.broadcast(rows), "who").select("text", "y"), "labelled").coalesce(8)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIMENSIONS))
