@@ -4,10 +4,10 @@ Texts are weighted sets of five-word shingles: term frequency times an inverse d
 scaled to 0.5..1, so that a group of copies as large as the corpus still compares by its shingles.
 Document frequencies come from all documents through a sketch of a fixed number of cells, whose mean
 noise is taken off.  Each of the samples draws a (shingle, level) with probability in proportion to weight;
-equal bands of samples make buckets.  A bucket's members are compared with its centre, the member that meets
-most others over all bands, and connected components of the verified links make classes.  Where a bucket still holds several classes,
-its members are compared through their rarest shingles (a prefix filter, which loses no link), never all
-with all.
+equal bands of samples make buckets.  A bucket's members are compared with its centre, the member whose shingles are
+the most common ones (the text that a large class lies around), and connected components of the verified
+links make classes.  Where a bucket still holds several classes, its members are compared through their
+rarest shingles (a prefix filter, which loses no link), never all with all.
 """
 
 from __future__ import annotations
@@ -203,24 +203,22 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, mean = [], []
             for t in batch.column(3):
                 h, n = shingles(t.as_py())
-                keys.append(signature(h, weights(h, n, scale.value), bands, rows).view(np.int64) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "row_id", "keys"])
+                w = weights(h, n, scale.value)
+                keys.append(signature(h, w, bands, rows).view(np.int64) if len(h) else None)
+                mean.append(float(w.sum() / n.sum()) if len(h) else 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mean, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "row_id", "rare", "keys"])
 
     numbered = whole.select("doc_id", "sha", F.monotonically_increasing_id().alias("row_id"), "text")
-    table = written(numbered.mapInArrow(signed, "doc_id long, sha string, row_id long, keys array<long>"), "near-rows")
+    table = written(numbered.mapInArrow(signed, "doc_id long, sha string, row_id long, rare double, keys array<long>"), "near-rows")
     # one node for each distinct text, however many rows hold it
     nodes = written(table.groupBy("sha").agg(F.min("row_id").alias("node")), "near-nodes")
-    single = table.join(nodes, (table["sha"] == nodes["sha"]) & (table["row_id"] == nodes["node"])).select("node", "doc_id", table["sha"], F.posexplode_outer("keys").alias("band", "key"))
-    places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"))
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    found = written(places.join(sizes, "bucket"), "near-places")
-    # the centre is the member that meets most others over all bands: the text that a large class lies around
-    met = found.groupBy("node").agg(F.sum("size").alias("met"))
-    centres = found.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("node").alias("turn"), "node")).alias("most")).select("bucket", F.col("most.node").alias("centre"))
-    members = written(found.join(centres, "bucket"), "near-members")
+    single = table.join(nodes, (table["sha"] == nodes["sha"]) & (table["row_id"] == nodes["node"])).select("node", "rare", F.posexplode_outer("keys").alias("band", "key"))
+    places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"), F.struct("rare", F.xxhash64("node").alias("tie"), "node").alias("order"))
+    buckets = places.groupBy("bucket").agg(F.count("*").alias("size"), F.min("order")["node"].alias("centre")).filter("size > 1")
+    members = written(places.drop("order").join(buckets, "bucket"), "near-members")
     stars = written(ordered(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-stars")
     involved = written(members.select("node").distinct().join(table.select(F.col("row_id").alias("node"), "doc_id", "sha"), "node").withColumnRenamed("doc_id", "id"), "near-involved")
     # only the texts of bucket members are shuffled, by one plan at every size
@@ -235,9 +233,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     rest = written(named.join(mixed_buckets, "bucket"), "near-rest")
     if not rest.isEmpty():
         more = written(rarest(rest, texts, scale, least).join(tested, ["a", "b"], "left_anti"), "near-more")
-        late = written(verified(more, texts, scale, least).filter("linked").select("a", "b"), "near-found")
-        if not late.isEmpty():
-            classes = components(links.unionByName(late))
+        found = written(verified(more, texts, scale, least).filter("linked").select("a", "b"), "near-found")
+        if not found.isEmpty():
+            classes = components(links.unionByName(found))
     of = table.join(nodes, "sha").select("doc_id", "row_id", "sha", "node")
     member = written(of.join(classes, "node", "left").select("doc_id", "row_id", "sha", F.coalesce("component", "node").alias("component")), "near-result")
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
