@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import shuffled
 
+#: Rows of a block that the search for neighbours compares at once.
+BLOCK = 1_024
+
 
 def undersample(rows: DataFrame, keys: list[str], key: str, seed: int, y: str = "y") -> DataFrame:
     """As many rows of each class as the rarer one has, chosen by an MD5 order."""
@@ -31,14 +40,105 @@ def undersample_with_replacement(rows: DataFrame, key: str, seed: int, y: str =
     return rows.filter(F.col(y) == 1).withColumn("draw", F.lit(0).cast("long")).unionByName(draws.withColumn("draw", F.col("draw").cast("long")).join(numbered, "slot").drop("slot"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks (g, dim, ids, block, place) of at most ``BLOCK`` rows of (g, id, vector) with one group and length; ``place`` counts them."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[str, int], list] = {}
+        place = TaskContext.get().partitionId()
+
+        def block(key: tuple[str, int], part: list) -> pa.RecordBatch:
+            nonlocal place
+            place += 1
+            ids, values = np.array([i for i, _ in part], np.int64), np.concatenate([v for _, v in part])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([place], pa.int64())], names=["g", "dim", "ids", "block", "place"])
+
+        for batch in batches:
+            for g, who, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                values = vector.values if vector.is_valid else None
+                if g is None or who is None or values is None or values.null_count or not len(values):
+                    continue
+                v = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(v).all():
+                    continue
+                part = waiting.setdefault((g, len(v)), [])
+                part.append((who, v))
+                if len(part) == BLOCK:
+                    yield block((g, len(v)), waiting.pop((g, len(v))))
+        for key, part in waiting.items():
+            yield block(key, part)
+
+    return rows.mapInArrow(blocks, "g string, dim int, ids binary, block binary, place long")
+
+
+def nine_places(x: np.ndarray) -> np.ndarray:
+    """Rounded half up by their shortest decimals, as Spark rounds."""
+    each, at = np.unique(x, return_inverse=True)
+    return np.array([float(Decimal(repr(float(v))).quantize(Decimal("1e-9"), ROUND_HALF_UP, Context(prec=400))) for v in each])[at]
+
+
+def nearest(q: np.ndarray, c: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of the k nearest ``c`` of each ``q``: a matrix product rules out what is surely farther, the rest is computed."""
+    if c.shape[0] > k:
+        qq, cc = (q * q).sum(axis=1)[:, None], (c * c).sum(axis=1)[None, :]
+        about = qq + cc - 2 * (q @ c.T)
+        off = (np.sqrt(qq) + np.sqrt(cc)) ** 2 * (q.shape[1] + 8) * 1e-15  # what the product may be wrong by
+        high = np.where(own, np.inf, about + off)
+        most = np.partition(high, k - 1, axis=1)[:, k - 1 : k]
+        close = ~own & ~(about - off > (np.sqrt(np.maximum(most, 0)) + 2e-9) ** 2)  # not numbers (overflow) stay
+    else:
+        close = ~own
+    found = []
+    for r in range(len(q)):
+        at = np.flatnonzero(close[r])
+        if len(at):
+            d = nine_places(np.sqrt(np.cumsum((q[r] - c[at]) ** 2, axis=1)[:, -1]))
+            order = np.lexsort((ids[at], d))[:k]
+            found.append((np.full(len(order), r), ids[at][order], d[order]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+
+
 def neighbours(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "v", group: str | None = None) -> DataFrame:
-    """(key, rank, other, dist): the k nearest other rows by Euclid's distance, within a group where one is named; ties to the smaller key."""
-    a = rows.select(F.col(key), F.col(vector).alias("va"), *([F.col(group).alias("g")] if group else []))
-    b = rows.select(F.col(key).alias("other"), F.col(vector).alias("vb"), *([F.col(group).alias("g")] if group else []))
-    pairs = (a.join(b, "g") if group else a.join(b)).filter(F.col(key) != F.col("other"))
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    """(key, other, dist, rank): the k nearest other rows by Euclid's distance, within a group where one is named; ties to the smaller key.
+
+    Blocks of rows meet the blocks of their group, dealt over parts, so a group with most of the rows is shared
+    by many tasks, and only the best k of a row leave a part.  Rows without a key or group, and vectors that are
+    null, empty or have null or non-finite parts, take no part; vectors of other lengths are not compared.
+    """
+    spark = rows.sparkSession
+    r = rows.select((F.col(group).cast("string") if group else F.lit("")).alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    most = r.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, min(-(-most // BLOCK), 4 * spark.sparkContext.defaultParallelism))
+    left = packed(r).select("g", "dim", F.col("ids").alias("q_ids"), F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = packed(r).withColumn("part", F.pmod("place", F.lit(parts)).cast("int")).drop("place")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q_ids, best = None, np.empty(0, np.int64), (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+
+        def rows_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["id", "other", "dist"])
+
+        for batch in batches:
+            for g, dim, ids_of_q, q_block, ids, block in zip(*(batch.column(i) for i in range(6)), strict=True):
+                g, dim, ids_of_q, q_block = g.as_py(), dim.as_py(), ids_of_q.as_py(), q_block.as_py()
+                if (g, dim, ids_of_q, q_block) != last:  # pairs of one block follow each other in a merge join; in any order lists are merged below
+                    if len(best[0]):
+                        yield rows_of()
+                    last, q_ids, best = (g, dim, ids_of_q, q_block), np.frombuffer(ids_of_q, np.int64), (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+                ids = np.frombuffer(ids.as_py(), np.int64)
+                new = nearest(np.frombuffer(q_block).reshape(-1, dim), np.frombuffer(block.as_py()).reshape(-1, dim), q_ids[:, None] == ids[None, :], ids, k)
+                row, other, dist = (np.concatenate(x) for x in zip(best, new, strict=True))
+                order = np.lexsort((other, dist, row))
+                row, other, dist = row[order], other[order], dist[order]
+                stays = np.arange(len(row)) - np.searchsorted(row, row) < k
+                best = row[stays], other[stays], dist[stays]
+        if len(best[0]):
+            yield rows_of()
+
+    pairs = left.join(right, ["g", "dim", "part"]).select("g", "dim", "q_ids", "q_block", "ids", "block")
+    near = pairs.mapInArrow(lists, "id long, other long, dist double").withColumnRenamed("id", key)
     w = Window.partitionBy(key).orderBy("dist", "other")
-    return pairs.select(key, "other", F.round(d, 9).alias("dist")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def smote(rows: DataFrame, k: int, seed: int, key: str = "vec_id", vector: str = "v", group: str | None = None) -> DataFrame:

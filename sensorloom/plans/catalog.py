@@ -459,9 +459,9 @@ def q42(spark, d):
     return balance.undersample_with_replacement(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", SEED).select("doc_id", "y", "draw")
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The minority class of the vectors, as windows."""
-    return table(spark, d, "embeddings").filter("label < 2").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+def vectors(spark: SparkSession, d: str, condition: str = "label < 2") -> DataFrame:
+    """The vectors, as windows: those of two labels, as the SQL of q43 and q44 has them, unless told otherwise."""
+    return table(spark, d, "embeddings").filter(condition).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
 KNN = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 2),
@@ -483,6 +483,21 @@ def q44(spark, d):
     return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
+# the same over every label: the whole table
+KNN_ALL = KNN.replace(" WHERE label < 2", "")
+
+
+@query("q43b_knn_topk_all", KNN_ALL + ORACLE["q43_knn_topk"].removeprefix(KNN), shared=False)
+def q43b(spark, d):
+    return rounded(balance.neighbours(vectors(spark, d, "true"), 5, group="label").select("vec_id", "rank", "other", "dist"))
+
+
+@query("q44b_smote_all", KNN_ALL + ORACLE["q44_smote"].removeprefix(KNN), shared=False)
+def q44b(spark, d):
+    s = balance.smote(vectors(spark, d, "true"), 5, SEED, group="label")
+    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
+
+
 @query("q45_norm_artefact", ", f AS (SELECT pid, s, y, stddev_pop(x) AS sd, max(x) - min(x) AS rg FROM wx WHERE y >= 0 GROUP BY pid, s, y) SELECT y, count(*) AS n, round(median(sd), 6) AS median_std, round(median(rg), 6) AS median_range, round(avg(CAST(rg < 100 AS INTEGER)), 6) AS share_flat FROM f GROUP BY y")
 def q45(spark, d):
     f = points(cut(spark, d)).filter("y >= 0").groupBy("pid", "s", "y").agg(F.stddev_pop("x").alias("sd"), (F.max("x") - F.min("x")).alias("rg"))

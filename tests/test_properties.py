@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import signal
 from sensorloom.operators import balance, labels, metrics, splits, windows
+from sensorloom.plans import catalog
 from sensorloom.sources import sensors
 from sensorloom.streaming.labels import labelled_stream
 
@@ -77,6 +79,26 @@ def test_smote_points_lie_between(spark):
     assert len(out) == 12 and all(np.allclose(np.array(v[r.vec_id]) + r.lam * (np.array(v[r.other]) - v[r.vec_id]), r.v) for r in out)
 
 
+@pytest.mark.parametrize("group", ["g", None])
+def test_neighbours_are_all_of_the_group(spark, monkeypatch, group):
+    monkeypatch.setattr(balance, "BLOCK", 16)  # blocks, parts and lists to merge in the hot group
+    rng = np.random.default_rng(4)
+    rows = [(i, "hot" if i % 5 else f"g{i % 3}", rng.integers(0, 3, 4).astype(float).tolist() if i % 2 else rng.normal(size=4).tolist()) for i in range(300)]
+    rows += [(i, "same", [1.0, 2.0, 3.0, 4.0]) for i in range(400, 440)]  # blocks of equal vectors
+    other = [(900, "g0", None), (901, "g0", [1.0, None, 2.0, 3.0]), (902, "g0", [float("nan")] * 4), (903, "g1", [1.0, 2.0])]
+    got = balance.neighbours(spark.createDataFrame(rows + other, "vec_id long, g string, v array<double>").repartition(3), 5, group=group).collect()
+    want = set()
+    for i, g, v in rows:
+        near = sorted((round(math.dist(v, w), 9), j) for j, h, w in rows if j != i and (not group or g == h))
+        want |= {(i, rank, j, d) for rank, (d, j) in enumerate(near[:5], 1)}
+    assert len(got) == len(want) and {(r.vec_id, r["rank"], r.other, r.dist) for r in got} == want
+
+
+def test_every_label_has_neighbours(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert catalog.QUERIES["q43b_knn_topk_all"](spark, "/root/testdata/sf0.001").select("vec_id").distinct().count() == n == catalog.QUERIES["q44b_smote_all"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_sensor_files(spark, tmp_path):
     d = tmp_path / "Part 101C" / "A01fb9_190426-184819"
     d.mkdir(parents=True)
