@@ -2,7 +2,7 @@
 
 Base spans are those of fixed patterns.  A conditional random field over word-shape features, trained on the
 small labelled table below, reads the tokens around digits, at signs and spelt-out ones, and adds spans that the
-patterns do not see (spelt-out addresses, phone numbers without a plus).  Tokens far from any of these signs
+patterns do not see (spelt-out addresses, phone numbers without a plus, with or without a leading 0).  Tokens far from any of these signs
 are outside by the model's definition.  A span is added where its digits or parts make sense and no
 base span is touched.  Decoding is Viterbi, in numpy, over batches of windows of equal length.
 """
@@ -114,7 +114,7 @@ LABELLED = [
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 TOKEN = re.compile(r"[A-Za-zÀ-ÿ]+|[0-9]+|[^\sA-Za-zÀ-ÿ0-9]")
 #: Signs around which tokens are read, and how many tokens on either side.
-SIGN = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT|dot|DOT)\s?[\])}]|\b(?:dot|DOT|Dot)\b")
+SIGN = re.compile(r"[0-9@]|[\[({]\s?(?:[Aa][Tt]|[Dd][Oo][Tt])\s?[\])}]|\b[Dd][Oo][Tt]\b|\b[Aa][Tt]\b(?=\s[A-Za-z0-9-]+\s?\.\s?[A-Za-z0-9])")
 REACH = 8
 FEATURES = 4_096
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
@@ -248,7 +248,9 @@ def cut(text: str, a: int, b: int) -> Iterator[list[tuple[str, int, int]]]:
 
 
 SPELT = re.compile(r"^[A-Za-z0-9._%+-]+(?:\s?(?:\[dot\]|\(dot\)|dot|\.)\s?[A-Za-z0-9_%+-]+)*\s?(?:\[at\]|\(at\)|\{at\}|\bat\b|@)\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b|\.)\s?[A-Za-z0-9-]+)+$", re.I)
-NATIONAL = re.compile(r"^\(?0[0-9]{1,4}\)?[ ./-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,8}){1,3}$")
+#: With a leading 0, in any grouping; else in groups of two digits or more, the first (a country's) and last perhaps shorter.
+NATIONAL = re.compile(r"^(?:\(?0[0-9]{1,4}\)?[ ./-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,8}){1,3}|(?:\([0-9]{1,5}\)[ ./-]{0,2}|[0-9]{1,5}[ ./-]{1,2})(?:(?:\([0-9]{2,5}\)|[0-9]{2,8})[ ./-]{1,2}){0,4}[0-9]{1,8})$")
+DATE = re.compile(r"^(?:(?:1[89]|20)[0-9]{2}([ ./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([ ./-])[01]?[0-9]\2(?:1[89]|20)[0-9]{2}|(?:1[89]|20)[0-9]{2} ?[/-] ?(?:1[89]|20)[0-9]{2})$")
 
 
 def sensible(kind: str, piece: str) -> bool:
@@ -257,7 +259,7 @@ def sensible(kind: str, piece: str) -> bool:
     if kind == "email":
         return len(piece) < 120 and bool(SPELT.match(piece))
     if kind == "phone":
-        return 8 <= len(digits) <= 13 and bool(NATIONAL.match(piece))
+        return 8 <= len(digits) <= 15 and bool(NATIONAL.match(piece)) and not DATE.match(piece)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", piece)) and all(int(p) < 256 for p in piece.split("."))

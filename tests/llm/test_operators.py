@@ -187,6 +187,22 @@ def test_pii(spark, docs):
     assert "<email>" in pii.redact(docs).filter("doc_id = 6").first().text and pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_returns_every_labelled_span():
+    model = pii.trained()
+    for line in pii.LABELLED:
+        parts = re.split(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[(?:at|dot)\])+)\]", line)
+        plain, want = parts[0], []
+        for kind, span, after in zip(parts[1::3], parts[2::3], parts[3::3], strict=True):
+            want.append((kind, len(plain), len(plain) + len(span)))
+            plain += span + after
+        assert sorted(pii.spans_of([plain], model)[0][1]) == sorted(want), plain
+    for text, kind, span in [("call (415) 555-2671 now", "phone", "(415) 555-2671"), ("call 415-555-2671 now", "phone", "415-555-2671"), ("please write to jane at example.com today", "email", "jane at example.com"), ("mail jane.doe [At] example.com now", "email", "jane.doe [At] example.com")]:
+        assert pii.spans_of([text], model)[0][1] == [(kind, text.index(span), text.index(span) + len(span))]
+    for text in ("on 2023-05-01 at 12.30", "call 01.05.2023 now", "isbn 978-3-16-148410-0", "look at example.com for more"):
+        assert pii.spans_of([text], model)[0][1] == []
+    assert all(next(pii.windows(x), None) for x in ("jane at example.com", "jane [At] example", "a {dOT} b")) and not next(pii.windows("look at this"), None)
+
+
 def test_packing(spark, docs):
     t = Tokenizer.from_file(BPE)
     got = packing.pack(docs, BPE, capacity=64).toPandas().sort_values(["sequence_id", "offset"])
