@@ -4,7 +4,7 @@ Digests stream through a keyed aggregation whose state lives on disk (RocksDB) a
 each digest it retains the stable identifier of the row that stays, the number of rows and the content
 locator of that row.  Rows are combined on the map side before they reach the state, so a text that a
 third of all rows share is one row for each task there.  Hits (digests seen more than once) are then
-checked: the locator fetches the retained row's full text and every other one is compared with it.
+checked: of each digest the least and the greatest full text are compared, in one aggregation without a join.
 Digests that different texts share are regrouped by the texts themselves.
 """
 
@@ -79,7 +79,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
     classes = written(keep_state(spark, rows, path, checkpoint or scratch(spark, "exact-state")), "exact-last")
     keep_id = F.when(F.col("order") != -(2**63), F.col("order"))
     out = rows.join(classes, "digest").select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("row_id") == F.col("locator")).alias("kept"), "text_sha256")
-    if not collisions(whole, rows, classes, key, keep_id):
+    if not collisions(whole, classes, key):
         return out
     # the digest did not tell texts apart: full texts are the keys (as digest and text, to compare few of them)
     members = whole.withColumn("row_id", F.monotonically_increasing_id()).withColumn("sha", sha(F.col("text")))
@@ -88,14 +88,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
     return members.join(exact, ["sha", "text"]).select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("row_id") == F.col("locator")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def collisions(whole: DataFrame, rows: DataFrame, classes: DataFrame, key, keep_id) -> bool:
-    """Whether a hit's full text differs from that of the row that its digest's state retains."""
-    hits = written(classes.filter("group_size > 1").select("digest", keep_id.alias("keep_id")), "exact-hits")
-    # of the texts only those that may be hits are shuffled, by the same plan at every size
-    maybe = flagged(whole.withColumn("digest", key), F.col("digest"), hits.select("digest"), "maybe").filter("maybe").drop("maybe")
-    members = written(maybe.join(hits.hint("merge"), "digest"), "exact-members")
-    kept = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("retained"))
-    return not members.join(kept.hint("merge"), "digest").filter(F.col("text") != F.col("retained")).isEmpty()
+def collisions(whole: DataFrame, classes: DataFrame, key) -> bool:
+    """Whether the full texts of a hit's rows differ."""
+    # only texts that may be hits are compared, by the same plan at every size; a digest seen once has one text
+    maybe = flagged(whole.select("text", key.alias("digest")), F.col("digest"), classes.filter("group_size > 1").select("digest"), "maybe").filter("maybe")
+    return not maybe.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest")).filter("least != greatest").isEmpty()
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=None) -> DataFrame:

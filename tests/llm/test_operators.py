@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -241,6 +242,16 @@ def test_exact(spark, docs, digest):
     assert exact.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_compares_equal_ids_once(spark):
+    timer = threading.Timer(90, spark.sparkContext.cancelAllJobs)  # pairs of such rows would never end
+    timer.start()
+    try:
+        df = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+        assert exact.exact_groups(df).filter("kept and group_size = 200000").count() == 1
+    finally:
+        timer.cancel()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 3, (120, 3)))]
