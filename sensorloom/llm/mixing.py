@@ -52,7 +52,8 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str, text: str = "text", d
 
     Multinomial naive Bayes over hashed tokens of the rows of ``docs`` that ``labelled`` names; ``domain`` is a
     column of ``docs``.  The sharpness multiplies the mean log likelihood of a token, and is fitted on rows that
-    the counts leave out.  Null ids and domains are left out.
+    the counts leave out.  Null ids and domains are left out; of rows with one id that whose text has the smallest
+    digest counts.
     """
     spark = docs.sparkSession
     ids = labelled.select(F.col(doc_id).cast("long").alias("who")).filter("who is not null").distinct().orderBy(F.xxhash64("who"), "who").limit(sample)
@@ -65,7 +66,9 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str, text: str = "text", d
             kept = [np.flatnonzero(b).astype(np.int32) for b in out]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.list_(pa.int32())), pa.array([b[k] for b, k in zip(out, kept, strict=True)], pa.list_(pa.float32()))], names=["who", "domain", "at", "n"])
 
-    got = whole.join(F.broadcast(rows), "who").mapInArrow(bags, "who long, domain string, at array<int>, n array<float>").toArrow().to_pylist()
+    one = F.min_by(F.struct("domain", "text"), F.struct(F.sha2(F.encode("text", "UTF-8"), 256), "domain")).alias("row")
+    found = whole.join(F.broadcast(rows), "who").groupBy("who").agg(one).select("who", "row.*")
+    got = found.mapInArrow(bags, "who long, domain string, at array<int>, n array<float>").toArrow().to_pylist()
     got.sort(key=lambda r: (crc32(str(r["who"]).encode()), r["domain"]))
     names = sorted({r["domain"] for r in got})
     if not names:

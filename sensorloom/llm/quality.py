@@ -150,7 +150,8 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", modulus: int = MODULUS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> tuple[np.ndarray, Network | float]:
     """Word vectors and network from at most ``sample`` rows of ``labels`` (doc_id, label 0 or 1) outside the held-out remainder.
 
-    Null labels and ids are left out; of rows with one id the largest label counts.  With no rows, or rows of one
+    Null labels and ids are left out; of labels with one id the largest counts, of documents with one id that whose text
+    has the smallest digest.  With no rows, or rows of one
     label, the constant share of label 1 (0.5 without rows) takes the network's place.
     """
     spark = docs.sparkSession
@@ -159,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = spark.createDataFrame(chosen.toArrow()) if sample else usable.limit(0)  # at most ``sample`` narrow rows
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("who"), text_or_empty(f"`{text}`").alias("text"))
     # the documents are read by as many tasks as they have parts; the sample, a table by then, in 8
-    found = written(whole.join(F.broadcast(rows), "who").select("text", "y"), "labelled").coalesce(8)
+    one = F.min_by(F.struct("text", "y"), F.sha2(F.encode("text", "UTF-8"), 256)).alias("row")  # combined by task, so a repeated id is not shuffled whole
+    found = written(whole.join(F.broadcast(rows), "who").groupBy("who").agg(one).select("row.*"), "labelled").coalesce(8)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIMENSIONS))

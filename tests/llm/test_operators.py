@@ -58,6 +58,14 @@ def test_quality(spark, docs, labels):
     assert (r[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum()) > 0.95
 
 
+def test_quality_learns_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "Network", lambda x, y: seen.append((len(x), y.sum())) or 0.5)
+    df = spark.createDataFrame([(1, f"copy {i} of one id") for i in range(300)] + [(i, f"text {i}") for i in range(2, 22)], "doc_id long, text string")
+    quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(1, 22)], "doc_id long, quality int"), modulus=1, held_out=1)
+    assert seen == [(21, 11)]
+
+
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [""]
 
@@ -106,6 +114,12 @@ def test_mixing(spark, docs, labels):
     assert mixing.mix(docs.limit(0), labels, {"en": 1.0}).count() == 0 and mixing.mix(docs, labels.limit(0), {"en": 1.0}).filter("rate = 1").count() == len(ROWS)
 
 
+def test_mixing_learns_one_row_of_an_id(spark):
+    df = spark.createDataFrame([(1, f"copy {i} of one id", "en") for i in range(300)] + [(i, f"wort {i}", "de") for i in range(2, 42)], "doc_id long, text string, lang string")
+    names, _, _, log_share = mixing.fit(df, df.select("doc_id"), "lang")
+    assert names == ["de", "en"] and np.exp(log_share[1]) < 0.1
+
+
 def test_near(spark, docs):
     rng = random.Random(1)
     base = [[rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(80)] for _ in range(30)]
