@@ -336,7 +336,8 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
         known, base, score = (np.zeros(MOST_SLABS * SLAB_DOCS, t) for t in (np.int64, float, float))
 
         def rows() -> pa.RecordBatch:
-            last = [int(np.flatnonzero(base[k * SLAB_DOCS : (k + 1) * SLAB_DOCS])[-1]) + 1 for k in slots.values()]  # no base is 0
+            used = (base != 0) | (score != 0)  # without training rows every base is 0, but no score
+            last = [int(np.flatnonzero(used[k * SLAB_DOCS : (k + 1) * SLAB_DOCS])[-1]) + 1 for k in slots.values()]
             cut = lambda x: pa.array([x[k * SLAB_DOCS : k * SLAB_DOCS + n].tobytes() for k, n in zip(slots.values(), last, strict=True)], pa.binary())
             out = pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.nulls(len(slots), pa.binary()), cut(known), cut(base), cut(score)], names=["slab", "notes", "known", "base", "score"])
             for x in (known, base, score):

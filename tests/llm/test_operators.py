@@ -84,6 +84,13 @@ def test_lattice(spark, docs):
     assert lattice.lm_scores(docs, PIECES).count() == len(ROWS) and lattice.lm_scores(docs.limit(0), PIECES).count() == 0
 
 
+def test_lattice_of_held_out_rows_only(spark):
+    df = spark.createDataFrame([(1, "the fox"), (2, ""), (3, "a the the")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.lm_scores(df, PIECES, modulus=1, held_out=0).collect()}
+    assert set(got) == {1, 2, 3}
+    assert all(r.held_out and r.n_known == r.train_tokens == r.base_score == 0 and r.n_tokens == n and r.score < 0 for r, n in zip((got[1], got[2], got[3]), (3, 1, 4), strict=True))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lattice.Pieces([("▁a", -1.0), ("▁", -2.0), ("a", -1.5), ("b", -2.0), ("ab", -2.5), ("▁ab", -3.0)])
     log_p = np.append(pieces.start(), -np.inf)
