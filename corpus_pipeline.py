@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained network and fitted rates are beyond SQL; tests hold the stages against brute-force versions.
+#: A trained network and fitted rates are beyond SQL; tests hold only columns, counts and exact dedup's distinct texts against the stages.
 ORACLE_SQL = None
 
 
