@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local one in local mode, where driver and executors are one process; RuntimeError on a cluster.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -70,6 +76,23 @@ def flagged(df: DataFrame, key, listed: DataFrame, flag: str) -> DataFrame:
     return df.withColumn(bucket, F.floor(at / 32768)).join(F.broadcast(bits), bucket, "left").withColumn(flag, on).drop(bucket, bit)
 
 
+#: A key counts as hot if it has more than one in so many of all rows, so that fewer keys than this are hot at any size.
+HOT = 1_024
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` (a row for each key; ``n``: how many of the ``total`` rows have it) on ``key``; ``how``: inner or left.
+
+    The hot keys, fewer than HOT narrow rows, are broadcast, so the rows of one stay where they are; the others meet
+    their keys in a shuffle, where none has more than its share.
+    """
+    hot = F.col(n) > total / HOT
+    flag = free_name(rows, "hot_")
+    first = rows.join(F.broadcast(found.filter(hot).withColumn(flag, F.lit(True))), key, "left")
+    cold = first.filter(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return first.filter(flag).drop(flag).unionByName(cold.join(found.filter(~hot), key, how))
+
+
 def kept_rows(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``groups`` (doc_id, text_sha256, kept) keeps, with all their columns."""
     key, flag = free_name(docs, "key_"), free_name(docs, "flag_")

@@ -3,9 +3,10 @@
 Digests stream through a keyed aggregation whose state lives on disk (RocksDB) and never expires: for
 each digest it retains the stable identifier of the row that stays, the number of rows and the content
 locator of that row.  Rows are combined on the map side before they reach the state, so a text that a
-third of all rows share is one row for each task there.  Hits (digests seen more than once) are then
-checked: of each digest the least and the greatest full text are compared, in one aggregation without a join.
-Digests that different texts share are regrouped by the texts themselves.
+third of all rows share is one row for each task there.  The rows are written once, with their texts, and a
+locator names one of them.  On a hit (a digest seen more than once) the locator fetches the retained row's
+bytes, and the least and the greatest text of the digest are compared with them: texts differ exactly if one
+of the two does.  Digests that different texts share are regrouped by the texts themselves.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flagged, kept_rows, scratch, text_or_empty, written
+from .common import flagged, kept_rows, looked_up, scratch, text_or_empty, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # a store that has committed gives its files back at once, however many partitions a task slot goes through
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
-def keep_state(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Streams the written ``rows`` (digest, doc_id, row_id) at ``path``; (digest, keep_id, locator, group_size) at its end.
+def keep_state(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """Streams the rows (digest, doc_id, row_id) written at ``path``; (digest, order, locator, group_size) at its end.
 
     The state stays below ``checkpoint``: a later call with the same one continues with new files only.
     """
@@ -35,7 +38,7 @@ def keep_state(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str)
         # null ids count as the smallest; of rows with equal ids any one stays
         order = F.coalesce("doc_id", F.lit(-(2**63)))
         (
-            spark.readStream.schema(rows.schema)
+            spark.readStream.schema("doc_id long, digest string, row_id long")
             .parquet(path)
             .groupBy("digest")
             .agg(F.max(order).alias("order"), F.max_by("row_id", order).alias("locator"), F.count("*").alias("group_size"))
@@ -74,25 +77,38 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", di
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
     path = scratch(spark, "exact-rows")
     key = (digest or sha)(F.col("text")).cast("string")
-    whole.select("doc_id", sha(F.col("text")).alias("text_sha256"), key.alias("digest"), F.monotonically_increasing_id().alias("row_id")).write.parquet(path)
-    rows = spark.read.schema("doc_id long, text_sha256 string, digest string, row_id long").parquet(path)
-    classes = written(keep_state(spark, rows, path, checkpoint or scratch(spark, "exact-state")), "exact-last")
-    keep_id = F.when(F.col("order") != -(2**63), F.col("order"))
-    out = rows.join(classes, "digest").select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("row_id") == F.col("locator")).alias("kept"), "text_sha256")
-    if not collisions(whole, classes, key):
-        return out
-    # the digest did not tell texts apart: full texts are the keys (as digest and text, to compare few of them)
-    members = whole.withColumn("row_id", F.monotonically_increasing_id()).withColumn("sha", sha(F.col("text")))
+    # row ids are made once; what follows reads this table, so a locator means the same row after a lost executor
+    whole.select("doc_id", sha(F.col("text")).alias("text_sha256"), key.alias("digest"), F.monotonically_increasing_id().alias("row_id"), "text").write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema("doc_id long, text_sha256 string, digest string, row_id long, text string").parquet(path)
+    classes = written(keep_state(spark, path, checkpoint or scratch(spark, "exact-state")), "exact-last")
+    if not collisions(table, classes):
+        return marked(table.drop("text"), classes, "digest")
+    # the digest did not tell texts apart: SHA-256 and text are the keys, and rows with an own class stand in for both
     order = F.coalesce("doc_id", F.lit(-(2**63)))
-    exact = members.groupBy("sha", "text").agg(F.max(order).alias("order"), F.max_by("row_id", order).alias("locator"), F.count("*").alias("group_size"))
-    return members.join(exact, ["sha", "text"]).select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("row_id") == F.col("locator")).alias("kept"), F.col("sha").alias("text_sha256"))
+    exact = table.groupBy("text_sha256", "text").agg(F.max(order).alias("order"), F.max_by("row_id", order).alias("locator"), F.count("*").alias("group_size"))
+    exact = written(exact.withColumn("class", F.concat_ws("/", "text_sha256", F.col("locator").cast("string"))), "exact-texts")
+    of = table.join(exact.select("text_sha256", "text", "class"), ["text_sha256", "text"]).drop("text", "digest")
+    return marked(written(of, "exact-of"), exact.drop("text_sha256", "text"), "class")
+
+
+def marked(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """The result's columns for ``rows`` (doc_id, text_sha256, row_id, key) by ``classes`` (key, order, locator, group_size)."""
+    total = rows.count()
+    keep_id = F.when(F.col("order") != -(2**63), F.col("order"))
+    out = looked_up(rows, classes, key, "group_size", total)
+    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("row_id") == F.col("locator")).alias("kept"), "text_sha256")
 
 
-def collisions(whole: DataFrame, classes: DataFrame, key) -> bool:
-    """Whether the full texts of a hit's rows differ."""
+def collisions(table: DataFrame, classes: DataFrame) -> bool:
+    """Whether a hit's text differs from the bytes of the row that the locator of its class names."""
+    hits = classes.filter("group_size > 1")
     # only texts that may be hits are compared, by the same plan at every size; a digest seen once has one text
-    maybe = flagged(whole.select("text", key.alias("digest")), F.col("digest"), classes.filter("group_size > 1").select("digest"), "maybe").filter("maybe")
-    return not maybe.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest")).filter("least != greatest").isEmpty()
+    maybe = flagged(table.select("digest", "row_id", "text"), F.col("digest"), hits.select("digest"), "maybe").filter("maybe").drop("maybe")
+    ends = maybe.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    of = F.col("locator").cast("string")
+    there = flagged(maybe, F.col("row_id").cast("string"), hits.select(of), "there").filter("there").select("row_id", F.col("text").alias("retained"))
+    located = hits.select("digest", F.col("locator").alias("row_id")).join(there, "row_id").drop("row_id")
+    return not ends.join(located, "digest").filter("least != retained or greatest != retained").isEmpty()
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=None) -> DataFrame:
