@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import exact, mixing, near, packing, quality
-from sensorloom.llm.common import kept_rows, table, written
+from sensorloom.llm.common import free_name, kept_rows, table, written
 from sensorloom.llm.queries import TARGETS, WORD_BPE
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on labelled rows of the stage's input."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, model).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    score = free_name(docs, "score")
+    return quality.scores(docs, model, column=score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
