@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_or_empty, written
+from .common import crc_mod, free_name, text_or_empty, written
 
 MODULUS, HELD_OUT = 4, 2
 #: Most labelled rows that the fit takes, by the order of a hash of their ids.
@@ -187,11 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return vectors, Network(x[order], y[order])
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1, higher: label 1 likelier); its text is kept.
+def scores(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str = "text", column: str = "score") -> DataFrame:
+    """``docs`` with a column of scores (0 to 1, higher: label 1 likelier) named ``column``; all its own columns are kept.
 
-    Only the whole text counts.  Null and empty texts are scored as texts without tokens.
+    Only the whole text counts.  Null and empty texts are scored as texts without tokens.  ValueError where ``docs`` has
+    such a column; ``common.free_name`` finds one that is free.
     """
+    if free_name(docs, column) != column:
+        raise ValueError(f"the table has a column {column}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     @F.pandas_udf("double")
@@ -204,7 +207,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str
             x = np.array([pooled(t, vectors) for t in part], np.float32).reshape(len(part), -1)
             yield pd.Series(network.score(x.astype(float)))
 
-    return docs.withColumn("score", scored(text_or_empty(f"`{text}`")))
+    return docs.withColumn(column, scored(text_or_empty(f"`{text}`")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -58,14 +58,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # it imports this module
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality, op2_lattice_scores, op3_token_counts, op4_mixing, op5_near_dedup, op6_warc, op7_pii, op8_packing, op9_exact_dedup, op10_exact_topk, pipeline)
+    ops = (op1_quality, op2_lattice_scores, op3_token_counts, op4_mixing, op5_near_dedup, op6_warc, op7_pii, op8_packing, op9_exact_dedup, op10_exact_topk)
     return {f.__name__: f for f in ops}
 
 
