@@ -30,6 +30,14 @@ MEMORY = 500_000
 #: str.split() takes these for white space, the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
+# Where the library's tables of Unicode differ from those here.  Small letters of two capitals; code
+# points that are letters here only, at the same three places of four blocks that have no characters.
+SMALL = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+BLOCKS, PLACES = (0x32000, 0x3D000, 0x3E000, 0x3F000), (0x808, 0x85C, 0x988)
+#: What stands for these when words are found: a code point for private use.
+STANDS = {block + place: 0xE000 for block in BLOCKS for place in PLACES}
+STRANGE = re.compile("[" + "".join(map(chr, STANDS)) + "]")
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stays, the rest moves up from 256."""
@@ -88,7 +96,9 @@ class Counter:
     def chunk(self, chunk: str) -> int:
         """Tokens of a chunk without special strings."""
         # case folding is by single characters: a final sigma is lowered like any other
-        chunk = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        chunk = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").translate(SMALL).lower()
+        if STRANGE.search(chunk):
+            return sum(self.word(chunk[slice(*m.span())]) for m in self.words.finditer(chunk.translate(STANDS)))
         return sum(map(self.word, self.words.findall(chunk)))
 
     def remembered(self, chunk: str) -> int:
