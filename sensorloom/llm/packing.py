@@ -5,7 +5,8 @@ problem is a histogram of at most ``capacity`` rows, at any size of the input.
 the largest length left is placed and a bitset subset-sum over the lengths still there finds the
 fullest combination; that combination is removed as often as the histogram allows.  Each removal
 uses up a length, so there are at most ``capacity`` of them for each and the plan has a bound that
-does not depend on the data.  Pieces then find their place by their rank among equal lengths.
+does not depend on the data.  Pieces then find their place by their rank among equal lengths; full
+pieces, of which long documents make most, are sequences of their own and need no rank and no shuffle.
 """
 
 from __future__ import annotations
@@ -149,6 +150,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str
 def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece with its sequence_id and offset; sequences hold at most ``capacity`` ids, without gaps.
 
+    Sequences of one full piece have numbers below 0, others from 0.
+
     Null and empty texts are one piece of the single id 0.  Repeated rows are packed one by one.
     Other columns are left out.  An empty table gives no rows.
     """
@@ -156,7 +159,8 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
     # the only pass over the texts; ranks need the rows twice and must see the same ones
     pieces = written(cut_pieces(docs, vocabulary, text, doc_id, capacity).withColumn("salt", salt), "pieces")
-    dealt = {(r.length, r.salt): r.n for r in pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}  # capacity x SALTS rows at most
+    shorter = pieces.filter(F.col("length") < capacity)
+    dealt = {(r.length, r.salt): r.n for r in shorter.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}  # capacity x SALTS rows at most
     histogram: Counter = Counter()
     first = np.zeros((capacity + 1, SALTS), dtype=np.int64)  # rank at which a salt's pieces begin
     for (length, s), n in sorted(dealt.items()):
@@ -179,4 +183,6 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
                 offset[at] = row[:, 3] + inside % row[:, 2] * x
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return pieces.withColumn("rank", rank).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    # full pieces take the numbers below 0
+    full = pieces.filter(F.col("length") == capacity).drop("salt").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return shorter.withColumn("rank", rank).mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
