@@ -247,7 +247,10 @@ def cut(text: str, a: int, b: int) -> Iterator[list[tuple[str, int, int]]]:
         yield tokens
 
 
-SPELT = re.compile(r"^[A-Za-z0-9._%+-]+(?:\s?(?:\[dot\]|\(dot\)|dot|\.)\s?[A-Za-z0-9_%+-]+)*\s?(?:\[at\]|\(at\)|\{at\}|\bat\b|@)\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b|\.)\s?[A-Za-z0-9-]+)+$", re.I)
+#: Ways to spell an at sign and a dot, bracketed or as a word of its own.
+AT = re.compile(r"\s?(?:[\[({]\s?at\s?[\])}]|(?<![^\s])at(?![^\s])|@)\s?", re.I)
+DOT = re.compile(r"\s?(?:[\[({]\s?dot\s?[\])}]|(?<![^\s])dot(?![^\s])|\.)\s?", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: With a leading 0, in any grouping; else in groups of two digits or more, the first (a country's) and last perhaps shorter.
 NATIONAL = re.compile(r"^(?:\(?0[0-9]{1,4}\)?[ ./-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,8}){1,3}|(?:\([0-9]{1,5}\)[ ./-]{0,2}|[0-9]{1,5}[ ./-]{1,2})(?:(?:\([0-9]{2,5}\)|[0-9]{2,8})[ ./-]{1,2}){0,4}[0-9]{1,8})$")
 DATE = re.compile(r"^(?:(?:1[89]|20)[0-9]{2}([ ./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([ ./-])[01]?[0-9]\2(?:1[89]|20)[0-9]{2}|(?:1[89]|20)[0-9]{2} ?[/-] ?(?:1[89]|20)[0-9]{2})$")
@@ -257,7 +260,7 @@ def sensible(kind: str, piece: str) -> bool:
     """Whether a span that the field proposes has the parts that its kind needs."""
     digits = digits_of(piece)
     if kind == "email":
-        return len(piece) < 120 and bool(SPELT.match(piece))
+        return ADDRESS.fullmatch(DOT.sub(".", AT.sub("@", piece))) is not None
     if kind == "phone":
         return 8 <= len(digits) <= 15 and bool(NATIONAL.match(piece)) and not DATE.match(piece)
     if kind == "card":
