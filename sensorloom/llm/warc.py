@@ -1,9 +1,10 @@
 """WARC archives: writing, and reading with segment reassembly (operator 6).
 
 Pages become HTTP responses in chunked transfer framing.  Blocks above ``segment_bytes`` are cut into a
-first segment and continuation records that name their origin.  Archives are files that Spark's own
-writer puts in the shared folder.  Reading groups continuation records by origin identifier, orders
-them by segment number, verifies the total length and decodes the chunked framing.
+first segment and continuation records that name their origin, so a record has a bounded size, and a file
+of a bounded number of records too.  Archives are files that Spark's own writer puts in the shared folder.
+Reading inflates them in a stream (one gzip member or one for each record), groups continuation records by
+origin identifier, orders them by segment number, verifies the total length and decodes the chunked framing.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty, written
+from .common import flagged, looked_up, scratch, text_or_empty, written
 
 SEGMENT_BYTES = 32_768
 CHUNK_CHARS = 4_096
 LEAST_REVISIT = 100
+#: So a file has at most 2,000 * (SEGMENT_BYTES + its headers), some 65 MB, before gzip.
 RECORDS_A_FILE = 2_000
+#: Bytes that are inflated at once.
+PART = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 #: Record ids are name-based, so a task that runs again writes the same bytes.
@@ -102,9 +106,13 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), text_or_empty(f"`{url}`").alias("url"), text_or_empty(f"`{html}`").alias("html"))
     raw = F.encode("html", "UTF-8")
     rows = rows.withColumns({"digest": F.sha2(raw, 256), "size": F.length(raw)})
-    # only payloads that occur again; written, so that Spark broadcasts them only if they are small on disk
-    again = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(written(again, "payloads"), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    # only payloads that occur again, and only rows that may hold one of them are shuffled; hot payloads stay where they are
+    again = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again, total = written(again, "payloads"), pages.count()
+    keyed = flagged(rows, F.col("digest"), again.select("digest"), "maybe")
+    alone, maybe = keyed.filter("not maybe").withColumn("first", F.lit(None).cast("long")), keyed.filter("maybe")
+    joined = alone.drop("maybe").unionByName(looked_up(maybe.drop("maybe"), again, "digest", "n", total, "left").drop("n"))
+    joined = joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -117,21 +125,56 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     joined.mapInArrow(records, "value string").write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode().split(END)
+def inflated(content: bytes) -> Iterator[bytes]:
+    """The archive's bytes in parts of at most PART; gzip members follow one another, anything else is plain."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while content:
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            part = member.decompress(content, PART)
+            content = member.unconsumed_tail
+            if part:
+                yield part
+            elif not content and not member.eof:
+                raise ValueError("the archive ends inside a gzip member")
+        content = member.unused_data
+
+
+def parsed(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of an archive that comes in parts."""
+    held, at, parts = bytearray(), 0, iter(parts)
+
+    def more() -> bool:
+        """Takes another part in; what was read goes."""
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
+
+    while at < len(held) or more():
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("the archive ends inside a record's headers")
+        lines = held[at:end].decode().split(END)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record where one should begin: {lines[0][:40]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         at = end + 4
         size = int(head["content-length"])
-        yield head, archive[at : at + size]
-        if archive[at + size : at + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at + size} has another length")
+        while len(held) - at < size + 4:
+            if not more():
+                raise ValueError(f"the archive ends inside a block of {size} bytes")
+        block = bytes(held[at : at + size])
+        if held[at + size : at + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"a record of {size} bytes has another length")
         at += size + 4
+        yield head, block
 
 
 RECORDS = "origin string, number int, total long, type string, page_id string, digest string, refers_to string, block binary"
@@ -148,7 +191,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 part, size = [], 0
-                for h, block in parsed(zlib.decompress(content.as_py(), 47)):
+                for h, block in parsed(inflated(content.as_py())):
                     own = h.get("warc-segment-origin-id", h["warc-record-id"])
                     number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
                     total = h.get("warc-segment-total-length")
