@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -49,6 +50,14 @@ def test_token_counts(spark, docs):
     assert bpe.token_counts(docs.limit(0), BPE).count() == 0
 
 
+@pytest.mark.parametrize("around", ["a{}b", "!{}!", "1 {}"])
+def test_token_counts_of_every_code_point(around):
+    t, count = Tokenizer.from_file(BPE), bpe.Counter(BPE).count
+    for k in range(0, 0x110000, 0x8000):
+        texts = [around.format(chr(i)) for i in range(k, k + 0x8000) if not 0xD800 <= i < 0xE000]
+        assert [x for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if count(x) != len(e.ids)] == []
+
+
 def test_quality(spark, docs, labels):
     got = quality.quality(docs, labels).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
@@ -186,6 +195,17 @@ def test_warc(spark):
             warc.dechunked(bad)
 
 
+@pytest.mark.parametrize("part", [7, 1 << 20])
+def test_archives_of_any_gzip_members(monkeypatch, part):
+    monkeypatch.setattr(warc, "PART", part)
+    records = [(warc.record("response", "x" * n, X_Page_Id=n) + "\r\n\r\n").encode() for n in (0, 3, 900)]
+    for raw in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), b"".join(records)):
+        assert [(h["x-page-id"], len(b)) for h, b in warc.parsed(warc.inflated(raw))] == [("0", 0), ("3", 3), ("900", 900)]
+    for bad in (gzip.compress(records[2])[:-9], gzip.compress(records[2][:-6]), records[2][:9], b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parsed(warc.inflated(bad)))
+
+
 def brute_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     find = lambda p: re.finditer(p, t)
@@ -287,6 +307,21 @@ def test_top_k(spark):
     assert len(got) == 15 and topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_ROWS", 3)  # several tiles for each query block
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    rows = [(i % 7, [float(i % 5), float(i)]) for i in range(40)] + [(50, [-(10.0**i), 1.0]) for i in (30, 31)] + [(100 + i, [10.0**i, 0.0]) for i in (20, 21)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=4).collect()
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    cap = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 50):  # each row of a repeated query id has its scores; the id keeps the best of all
+        every = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in whole if i == q for j, w in whole if j != q)
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(j, cap(-s)) for s, j in every[:4]]
+    for a, b in ((-5, 3), (-(2**80), -(2**79)), (0, 1), (-1, 0), (255, 256), (-256, -255)):
+        assert topk.sortable(a) < topk.sortable(b)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
