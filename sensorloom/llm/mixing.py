@@ -118,10 +118,13 @@ def stepped(r: Column, steps: list[np.ndarray]) -> Column:
     return r
 
 
-def with_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``members`` (n_tokens, posterior and more) with a column rate, fitted by projected gradient to the domains' targets.
+def with_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``members`` (n_tokens, posterior and more) with a column rate, fitted by projected gradient to the domains' targets; and the error left.
 
-    Rows are scaled by the domains' own weights, so that one step length suits all of them.
+    Rows are scaled by the domains' own weights, so that one step length suits all of them.  Steps end when no domain is off
+    by more than ``tolerance`` of all targets, when a step no longer changes the totals by a thousandth of that (a target
+    that no rates reach, as of a domain without documents), or after ``steps``; the error, the largest distance of a domain
+    from its target in shares of all targets, says which.
     """
     D = len(targets)
     w, p = F.col("n_tokens").cast("double"), F.col("posterior")
@@ -133,27 +136,31 @@ def with_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tole
     scale = 1 / np.sqrt(np.maximum(np.diag(G), 1e-12))
     length = 1 / max(float(np.linalg.eigvalsh(scale[:, None] * G * scale).max()), 1e-12)
     made: list[np.ndarray] = []
-    state, done = members.withColumn("rate", F.lit(1.0)), 0
-    for _ in range(steps):
+    state, done, before, error = members.withColumn("rate", F.lit(1.0)), 0, np.inf, 0.0
+    for k in range(steps + 1):
         r = stepped(F.col("rate"), made[done:])
         totals = state.agg(*[F.sum(w * r * p[d]).alias(f"t{d}") for d in range(D)]).first()
         off = np.array([totals[f"t{d}"] or 0.0 for d in range(D)]) - targets
-        if np.abs(off).max() <= tolerance * max(1.0, targets.sum()):
+        most = tolerance * max(1.0, targets.sum())
+        error = float(np.abs(off).max() / max(1.0, targets.sum()))
+        if np.abs(off).max() <= most or np.abs(off - before).max() <= most / 1000 or k == steps:
             break
+        before = off
         made.append(length * scale * scale * off)
         if len(made) - done == 10:  # rates so far become a table, so that expressions stay short
             state, done = written(state.withColumn("rate", stepped(F.col("rate"), made[done:])), "rates"), len(made)
-    return state.withColumn("rate", stepped(F.col("rate"), made[done:]))
+    return state.withColumn("rate", stepped(F.col("rate"), made[done:])), error
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text", doc_id: str = "doc_id", budget: float | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text_sha256, n_tokens, posterior, domain, rate, copies): a row for each row of ``docs``.
+    """(doc_id, text_sha256, n_tokens, posterior, domain, rate, copies, target_error): a row for each row of ``docs``.
 
     targets: wanted share of tokens of each domain (scaled to sum to 1); domains without one aim at 0, names that
     no labelled row has are left out.  budget: tokens in all, as many as ``docs`` has unless given.  posterior is
     in the order of the domains' names; domain is the likeliest.  copies is the rate rounded up or down by a hash of
     the row, so that its expectation is the rate; repeated rows are rounded alike.  Rows without tokens keep rate
-    and copies of 1, null texts count as empty, null ids are kept.  Without labelled rows all rates are 1.
+    and copies of 1, null texts count as empty, null ids are kept.  Without labelled rows all rates are 1 and the error is null.
+    target_error, alike in all rows, is the largest distance of a domain's expected tokens from its target, in shares of all.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{domain}`").alias("domain"), text_or_empty(f"`{text}`").alias("text"))
     model = fit(rows, labelled, "domain", sample=sample)
@@ -161,16 +168,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain:
     sha = F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
     members = written(memberships(rows, model).select("doc_id", sha, "membership.n_tokens", "membership.posterior"), "members")
     wanted = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
+    error = None
     if len(names) and wanted.sum() > 0:
         total = budget if budget is not None else float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-        members = with_rates(members, wanted / wanted.sum() * total)
+        members, error = with_rates(members, wanted / wanted.sum() * total)
     else:
         members = members.withColumn("rate", F.lit(1.0))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     likeliest = F.element_at(F.array(*[F.lit(x) for x in names]), best) if names else F.lit(None).cast("string")
     members = members.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("rate")).otherwise(1.0))
     uniform = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(1 << 20)) / float(1 << 20)
-    return members.withColumns({"domain": likeliest, "copies": F.floor(F.col("rate") + uniform)}).select("doc_id", "text_sha256", "n_tokens", "posterior", "domain", "rate", "copies")
+    return members.withColumns({"domain": likeliest, "copies": F.floor(F.col("rate") + uniform)}).select("doc_id", "text_sha256", "n_tokens", "posterior", "domain", "rate", "copies", F.lit(error).cast("double").alias("target_error"))
 
 
 def mixed(docs: DataFrame, rates: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
