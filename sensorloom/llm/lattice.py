@@ -6,7 +6,8 @@ weights.  Expectation maximisation over all training words turns the scores into
 segmentations of a word.  A word of the training texts has one more edge, over the whole word: its count
 less an absolute discount; the discounted mass is what the pieces share, so the lattice alone carries
 unseen words and probabilities still add up to one.  A document is the product over its words and its end,
-hence the marginal over all its segmentations.
+hence the marginal over all its segmentations.  The marginal over the pieces alone, without whole-word edges,
+is returned beside it.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def hashed(ids: dict[bytes, int], seed: np.uint64) -> tuple[np.ndarray, np.ndarr
     slot_keys, slot_ids = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
     for k, i in zip(keys, ids.values(), strict=True):
         for turn in range(100):  # who is in the way moves to its other slot
-            places = [int((k * MULTIPLY) >> shift) & ((1 << bits) - 1) for shift in (U(64 - bits), U(64 - 2 * bits))]
+            mixed = int(k) * int(MULTIPLY) % (1 << 64)
+            places = [(mixed >> shift) & ((1 << bits) - 1) for shift in (64 - bits, 64 - 2 * bits)]
             at = next((x for x in places if slot_ids[x] < 0), places[turn % 2])
             (k, slot_keys[at]), (i, slot_ids[at]) = (slot_keys[at], k), (slot_ids[at], i)
             if i < 0:
@@ -254,7 +256,10 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", modulus: int = MODULUS, held_out: int = HELD_OUT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of ``docs``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score): a row for each row of ``docs``.
+
+    score is the marginal over pieces and whole-word edges, lattice_score that over the pieces alone (an end has the share
+    that ends have of the training tokens, words the rest).
 
     model: path of a sentencepiece model on the driver.  Rows whose crc32 of the id modulo ``modulus`` is
     ``held_out`` are scored but not learnt from.  Letters A-Z are lowered; tokens are words between ASCII
@@ -304,8 +309,9 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
     uses = postings.filter(F.col("word") != F.lit(NOTES))
     words = written(uses.groupBy("word").agg(F.sum("train").alias("c")), "words")
     of_count = [F.count_if(F.col("c") == k) for k in (1, 2)]
-    total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), *of_count).first()
-    n_train, distinct, once, twice = (int(x or 0) for x in total)
+    total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), *of_count, F.max(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+    n_train, distinct, once, twice, n_ends = (int(x or 0) for x in total)
+    end_share = (n_ends + 0.5) / (n_train + 1)  # a half without training rows
     discount = once / (once + 2 * twice) if once and twice else 0.5
     pieces = Pieces(vocabulary(model))
     log_p = learnt(words, pieces, rounds)
@@ -317,6 +323,8 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
             w, c = part.column("word").to_pylist(), part.column("c").to_numpy()
             lp = word_log10(w, log_p, pieces)
             ends = [i for i, x in enumerate(w) if x == END]
+            pure = lp + np.log10(1 - end_share)
+            pure[ends] = np.log10(end_share)
             if n_train:
                 lp[ends] = -np.inf
                 with np.errstate(divide="ignore"):
@@ -325,22 +333,22 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
             else:  # half a document's probability mass is its end's
                 lp[ends] = 0
                 lp -= np.log10(2)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c), pa.array(lp)], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c), pa.array(lp), pa.array(pure)], names=["word", "c", "lp", "pure"])
 
-    each = words.mapInArrow(scored, "word binary, c long, lp double")
+    each = words.mapInArrow(scored, "word binary, c long, lp double, pure double")
     least = float(n_train + distinct + 1)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a document's known tokens and log probabilities over the words of this task, by slab."""
         slots: dict[int, int] = {}
-        known, base, score = (np.zeros(MOST_SLABS * SLAB_DOCS, t) for t in (np.int64, float, float))
+        known, base, score, lattice = (np.zeros(MOST_SLABS * SLAB_DOCS, t) for t in (np.int64, float, float, float))
 
         def rows() -> pa.RecordBatch:
             used = (base != 0) | (score != 0)  # without training rows every base is 0, but no score
             last = [int(np.flatnonzero(used[k * SLAB_DOCS : (k + 1) * SLAB_DOCS])[-1]) + 1 for k in slots.values()]
             cut = lambda x: pa.array([x[k * SLAB_DOCS : k * SLAB_DOCS + n].tobytes() for k, n in zip(slots.values(), last, strict=True)], pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.nulls(len(slots), pa.binary()), cut(known), cut(base), cut(score)], names=["slab", "notes", "known", "base", "score"])
-            for x in (known, base, score):
+            out = pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.nulls(len(slots), pa.binary()), cut(known), cut(base), cut(score), cut(lattice)], names=["slab", "notes", "known", "base", "score", "lattice"])
+            for x in (known, base, score, lattice):
                 x[:] = 0
             slots.clear()
             return out
@@ -357,22 +365,23 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
                     slots.setdefault(int(x), len(slots))
                 own = (place >= k) & (place < k + MOST_SLABS)
                 first = np.array([slots.get(int(x), 0) * SLAB_DOCS for x in ids], np.int64)[place[own]]
-                c, lp, n_uses = batch.column(2).to_numpy()[own], batch.column(3).to_numpy()[own], sizes[own]
+                c, lp, pure, n_uses = batch.column(2).to_numpy()[own], batch.column(3).to_numpy()[own], batch.column(4).to_numpy()[own], sizes[own]
                 u = np.frombuffer(b"".join(b for b, o in zip(batch.column(1).to_pylist(), own, strict=True) if o), USE)
                 at, n = np.repeat(first, n_uses) + u["doc"], u["n"].astype(np.int64)
                 np.add.at(known, at, np.where(np.repeat(c > 0, n_uses), n, 0))
                 np.add.at(base, at, n * np.repeat(np.log10((c + 1) / least), n_uses))
                 np.add.at(score, at, n * np.repeat(lp, n_uses))
+                np.add.at(lattice, at, n * np.repeat(pure, n_uses))
         if slots:
             yield rows()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of each slab's parts, which follow one another, beside the notes on its documents."""
 
-        def rows(notes: list, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        def rows(notes: list, known: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
             k = len(notes)
             columns = [[x[i] for x in notes] for i in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(known[:k]), pa.array([n_train] * k, pa.int64()), pa.array(base[:k]), pa.array(score[:k])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(known[:k]), pa.array([n_train] * k, pa.int64()), *(pa.array(x[:k]) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
         now, notes, sums = None, None, None
         for batch in batches:
@@ -380,7 +389,7 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
                 if slab != now:
                     if now is not None:
                         yield rows(notes, *sums)
-                    now, notes, sums = slab, None, [np.zeros(SLAB_DOCS, t) for t in (np.int64, float, float)]
+                    now, notes, sums = slab, None, [np.zeros(SLAB_DOCS, t) for t in (np.int64, float, float, float)]
                 if note is not None:
                     notes = read_notes(note)
                 else:
@@ -390,9 +399,9 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
             yield rows(notes, *sums)
 
     empty = F.lit(None).cast("binary")
-    sums = uses.join(each, "word").select("slab", "uses", "c", "lp").mapInArrow(summed, "slab long, notes binary, known binary, base binary, score binary")
-    both = sums.unionByName(notes.select("slab", F.col("uses").alias("notes"), empty.alias("known"), empty.alias("base"), empty.alias("score")))
-    return both.repartition("slab").sortWithinPartitions("slab").mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sums = uses.join(each, "word").select("slab", "uses", "c", "lp", "pure").mapInArrow(summed, "slab long, notes binary, known binary, base binary, score binary, lattice binary")
+    both = sums.unionByName(notes.select("slab", F.col("uses").alias("notes"), empty.alias("known"), empty.alias("base"), empty.alias("score"), empty.alias("lattice")))
+    return both.repartition("slab").sortWithinPartitions("slab").mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
 
 
 def noted(rows: list[tuple]) -> bytes:
