@@ -3,11 +3,13 @@
 Texts are weighted sets of five-word shingles: term frequency times an inverse document frequency
 scaled to 0.5..1, so that a group of copies as large as the corpus still compares by its shingles.
 Document frequencies come from all documents through a sketch of a fixed number of cells, whose mean
-noise is taken off.  Each of the samples draws a (shingle, level) with probability in proportion to weight;
+noise is taken off; where distinct shingles far outnumber the cells, rare ones weigh as if they were somewhat
+commoner, alike in every text, so similarities are still of one weighting and classes do not depend on partitions.  Each of the samples draws a (shingle, level) with probability in proportion to weight;
 equal bands of samples make buckets.  A bucket's members are compared with its centre, the member whose shingles are
 the most common ones (the text that a large class lies around), and connected components of the verified
 links make classes.  Where a bucket still holds several classes, its members are compared through their
-rarest shingles (a prefix filter, which loses no link), never all with all.
+rarest shingles (a prefix filter, which loses no link), never all with all.  Rows of a hot text, class or centre are
+not gathered: their class is broadcast (``common.looked_up``), their text copied to as many salts as its pairs need.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flagged, text_or_empty, written
+from .common import HOT, flagged, looked_up, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -151,23 +153,42 @@ def components(edges: DataFrame) -> DataFrame:
     moves, left = [], edges
     while True:
         near = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = written(near.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "moves")
-        moves.append(move)
-        moved = left.join(move.select(F.col("node").alias("a"), F.col("to").alias("a_to")), "a").select("b", "a_to").join(move.select(F.col("node").alias("b"), F.col("to").alias("b_to")), "b")
+        move = written(near.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count("*").alias("n")).withColumnRenamed("a", "node"), "moves")
+        moves.append(move.drop("n"))
+        ends = 2 * left.count()
+        moved = left.select("a", "b")
+        for side in ("a", "b"):
+            of = move.select(F.col("node").alias(side), F.col("to").alias(f"{side}_to"), "n")
+            moved = looked_up(moved, of, side, "n", ends).drop("n")
         left = written(moved.filter("a_to != b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
         if left.isEmpty():
             break
     labels = moves.pop().withColumnRenamed("to", "component")
     for move in reversed(moves):
-        then = labels.select(F.col("node").alias("to"), "component")
-        labels = written(move.join(then, "to", "left").select("node", F.coalesce("component", "to").alias("component")), "labels")
+        then = labels.select(F.col("node").alias("to"), "component").join(move.groupBy("to").agg(F.count("*").alias("n")), "to")
+        labels = written(looked_up(move, then, "to", "n", move.count(), "left").select("node", F.coalesce("component", "to").alias("component")), "labels")
     return labels
 
 
+#: Pairs that one copy of a text meets, at least, before the text is copied.
+FEW = 256
+
+
+def beside(rows: DataFrame, pairs: DataFrame, total: int, texts: DataFrame, side: str, other: str) -> DataFrame:
+    """``rows`` (the ``total`` ``pairs``, and more columns) with the text of ``side`` in a column side_text.
+
+    A text of very many pairs is copied, a copy for each share of them: fewer than 2 * HOT copies in all.
+    """
+    share = max(total / HOT, FEW)
+    hot = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).filter(F.col("n") > share).select(side, F.ceil(F.col("n") / share).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    copies = texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")).join(hot, side, "left")
+    return dealt.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"), [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose ``texts`` (node, text) have a weighted Jaccard similarity of ``least`` or more."""
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -180,7 +201,10 @@ def verified(pairs: DataFrame, texts: DataFrame, scale, least: float) -> DataFra
                 good.append(similarity(shingles(x.as_py()), known, scale.value) >= least)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(compared, "a long, b long, linked boolean")
+    both, total = pairs, pairs.count()
+    for side, other in (("a", "b"), ("b", "a")):
+        both = beside(both, pairs, total, texts, side, other)
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(compared, "a long, b long, linked boolean")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -214,7 +238,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     numbered = whole.select("doc_id", "sha", F.monotonically_increasing_id().alias("row_id"), "text")
     table = written(numbered.mapInArrow(signed, "doc_id long, sha string, row_id long, rare double, keys array<long>"), "near-rows")
     # one node for each distinct text, however many rows hold it
-    nodes = written(table.groupBy("sha").agg(F.min("row_id").alias("node")), "near-nodes")
+    nodes, total = written(table.groupBy("sha").agg(F.min("row_id").alias("node"), F.count("*").alias("n")), "near-nodes"), table.count()
     single = table.join(nodes, (table["sha"] == nodes["sha"]) & (table["row_id"] == nodes["node"])).select("node", "rare", F.posexplode_outer("keys").alias("band", "key"))
     places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"), F.struct("rare", F.xxhash64("node").alias("tie"), "node").alias("order"))
     buckets = places.groupBy("bucket").agg(F.count("*").alias("size"), F.min("order")["node"].alias("centre")).filter("size > 1")
@@ -222,8 +246,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     stars = written(ordered(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-stars")
     involved = written(members.select("node").distinct().join(table.select(F.col("row_id").alias("node"), "doc_id", "sha"), "node").withColumnRenamed("doc_id", "id"), "near-involved")
     # only the texts of bucket members are shuffled, by one plan at every size
-    maybe = flagged(whole, F.col("sha"), involved.select("sha"), "maybe").filter("maybe").drop("maybe")
-    texts = written(maybe.join(involved.hint("merge"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("node").agg(F.max("text").alias("text")), "near-texts")
+    name = lambda who: F.concat_ws("/", "sha", F.coalesce(F.col(who).cast("string"), F.lit("")))
+    named = involved.select(name("id").alias("name"), "node")
+    maybe = flagged(whole.select(name("doc_id").alias("name"), "text"), F.col("name"), named.select("name"), "maybe").filter("maybe")
+    texts = written(maybe.groupBy("name").agg(F.max("text").alias("text")).join(named, "name").select("node", "text"), "near-texts")
     tested = written(verified(stars, texts, scale, least), "near-tested")
     links = tested.filter("linked").select("a", "b")
     classes = components(links)
@@ -236,11 +262,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         found = written(verified(more, texts, scale, least).filter("linked").select("a", "b"), "near-found")
         if not found.isEmpty():
             classes = components(links.unionByName(found))
-    of = table.join(nodes, "sha").select("doc_id", "row_id", "sha", "node")
-    member = written(of.join(classes, "node", "left").select("doc_id", "row_id", "sha", F.coalesce("component", "node").alias("component")), "near-result")
+    known = nodes.join(classes, "node", "left").select("sha", "n", F.coalesce("component", "node").alias("component"))
+    member = written(looked_up(table.select("doc_id", "row_id", "sha"), known, "sha", "n", total).drop("n"), "near-result")
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     heads = member.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row_id", last).alias("head"))
-    return member.join(heads, "component").select("doc_id", "class_id", "class_size", (F.col("row_id") == F.col("head")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return looked_up(member, heads, "component", "class_size", total).select("doc_id", "class_id", "class_size", (F.col("row_id") == F.col("head")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def rarest(rest: DataFrame, texts: DataFrame, scale, least: float) -> DataFrame:
