@@ -93,6 +93,44 @@ def test_lattice(spark, docs):
     assert lattice.lm_scores(docs, PIECES).count() == len(ROWS) and lattice.lm_scores(docs.limit(0), PIECES).count() == 0
 
 
+def test_lattice_scores_sum_all_segmentations_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lattice, "vocabulary", lambda path: [("▁", -2.0), ("▁a", -1.0), ("a", -1.5), ("b", -2.0), ("ab", -2.5), ("▁ab", -3.0), ("c", -4.0)])
+    texts = {1: "ab abc", 2: "", 3: "a  ba AB", 4: None, 5: "é ab", 6: "cc", 8: "ab a"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.lm_scores(df, "", rounds=2).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = collections.Counter(w for i, t in texts.items() if not held[i] for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    pieces = lattice.Pieces(lattice.vocabulary(""))
+    p = np.exp(pieces.start())
+    name = {i: b for b, i in pieces.inner.items()} | {int(i): bytes([b]) for b, i in enumerate(pieces.byte)}
+
+    def ways(word, at=-1):
+        """Every segmentation of ``word`` as lists of pieces."""
+        if at < 0:
+            return [[i, *rest] for b, i in pieces.first.items() if word.startswith(b) for rest in ways(word, len(b))]
+        if at == len(word):
+            return [[]]
+        return [[i, *rest] for i, b in name.items() if word[at:].startswith(b) for rest in ways(word, at + len(b))]
+
+    words = {w.encode(): [list(x) for x in ways(w.encode())] for t in texts.values() for w in tokens(t) if w}
+    for _ in range(2):
+        uses = np.full(pieces.size, lattice.PRIOR)
+        for w in (w.encode() for w in c if w):
+            each = np.array([np.prod(p[x]) for x in words[w]])
+            for x, share in zip(words[w], each / each.sum(), strict=True):
+                np.add.at(uses, x, share)
+        p = uses / uses.sum()
+    end = (c[""] + 0.5) / (n + 1)
+    for i, t in texts.items():
+        marginal = {w: sum(np.prod(p[x]) for x in words[w.encode()]) for w in tokens(t) if w}
+        pure = sum(math.log10(end) if not w else math.log10((1 - end) * marginal[w]) for w in tokens(t))
+        whole = sum(math.log10(max(c[w] - discount, 0) / n + (marginal[w] * discount * v / n if w else 0)) for w in tokens(t))
+        assert abs(got[i].lattice_score - pure) < 1e-6 and abs(got[i].score - whole) < 1e-6
+
+
 def test_lattice_of_held_out_rows_only(spark):
     df = spark.createDataFrame([(1, "the fox"), (2, ""), (3, "a the the")], "doc_id long, text string")
     got = {r.doc_id: r for r in lattice.lm_scores(df, PIECES, modulus=1, held_out=0).collect()}
@@ -130,6 +168,26 @@ def test_mixing(spark, docs, labels):
     assert mixing.mix(docs.limit(0), labels, {"en": 1.0}).count() == 0 and mixing.mix(docs, labels.limit(0), {"en": 1.0}).filter("rate = 1").count() == len(ROWS)
 
 
+def test_rates_are_those_of_a_dense_solve(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.ones(3), 60)
+    n = rng.integers(1, 400, 60)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    targets = np.array([0.6, 0.1, 0.3]) * n.sum()
+    out, error = mixing.with_rates(df, targets, steps=400, tolerance=1e-9)
+    got = {(r.n_tokens, tuple(r.posterior)): r.rate for r in out.collect()}
+    r = np.array([got[int(a), tuple(float(x) for x in b)] for a, b in zip(n, p, strict=True)])
+    a, gram = (p * n[:, None]).T, (p * n[:, None]).T @ p
+    scale = 1 / np.sqrt(np.diag(gram))
+    step = 1 / np.linalg.eigvalsh(scale[:, None] * gram * scale).max()
+    dense = np.ones(60)
+    for _ in range(20_000):
+        dense = np.maximum(0, dense - step * p @ (scale**2 * (a @ dense - targets)))
+    assert np.abs(a @ dense - targets).max() < 1e-6 * n.sum() and np.abs(dense - r).max() < 1e-5 and error <= 1e-9 and (r == 0).any()
+    unreached, error = mixing.with_rates(spark.createDataFrame([(10, [1.0, 0.0])], "n_tokens long, posterior array<double>"), np.array([5.0, 5.0]))
+    assert abs(unreached.first().rate - 0.5) < 1e-6 and abs(error - 0.5) < 1e-6
+
+
 def test_mixing_learns_one_row_of_an_id(spark):
     df = spark.createDataFrame([(1, f"copy {i} of one id", "en") for i in range(300)] + [(i, f"wort {i}", "de") for i in range(2, 42)], "doc_id long, text string, lang string")
     names, _, _, log_share = mixing.fit(df, df.select("doc_id"), "lang")
