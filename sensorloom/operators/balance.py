@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .splits import shuffled
+from .splits import first_rows, numbered, shuffled
 
 #: Rows of a block that the search for neighbours compares at once.
 BLOCK = 1_024
@@ -19,25 +19,24 @@ BLOCK = 1_024
 
 def undersample(rows: DataFrame, keys: list[str], key: str, seed: int, y: str = "y") -> DataFrame:
     """As many rows of each class as the rarer one has, chosen by an MD5 order."""
-    w = Window.partitionBy(*keys)
-    n = F.least(F.sum(F.col(y).cast("long")).over(w), F.sum(1 - F.col(y).cast("long")).over(w))
-    place = F.row_number().over(Window.partitionBy(*keys, y).orderBy(shuffled(seed, key), key))
-    return rows.withColumns({"least": n, "place": place}).filter("place <= least").drop("place", "least")
+    n = rows.groupBy(*keys).agg(F.least(F.sum(F.col(y).cast("long")), F.sum(1 - F.col(y).cast("long"))).alias("least"))
+    both = rows.join(n, keys) if keys else rows.crossJoin(F.broadcast(n))  # one row
+    return first_rows(both, [*keys, y], [shuffled(seed, key), F.col(key)], F.col("least"), [key]).drop("place", "least")
 
 
 def stratified_subset(rows: DataFrame, key: str, n: int, seed: int, y: str = "y") -> DataFrame:
     """``n`` rows, half of them positive where there are so many; fewer where a class runs out."""
-    w = Window.partitionBy(y).orderBy(shuffled(seed, key), key)
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.when(F.col(y) == 1, F.col("place") <= n // 2).otherwise(F.col("place") <= n - n // 2)).drop("place")
+    most = F.when(F.col(y) == 1, n // 2).otherwise(n - n // 2)
+    return first_rows(rows, [y], [shuffled(seed, key), F.col(key)], most, [key]).drop("place")
 
 
 def undersample_with_replacement(rows: DataFrame, key: str, seed: int, y: str = "y") -> DataFrame:
     """Every positive row, and as many draws from the negative ones, each row as often as it is drawn."""
-    negative = rows.filter(F.col(y) == 0)
-    numbered = negative.withColumn("slot", F.row_number().over(Window.orderBy(key)) - 1)
-    n = rows.agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    draws = n.select("neg", F.explode(F.sequence(F.lit(1), "pos")).alias("draw")).select("draw", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.col("neg")).alias("slot"))
-    return rows.filter(F.col(y) == 1).withColumn("draw", F.lit(0).cast("long")).unionByName(draws.withColumn("draw", F.col("draw").cast("long")).join(numbered, "slot").drop("slot"))
+    negative = numbered(rows.filter(F.col(y) == 0), key, "slot")
+    n = rows.agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")).first()
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    draws = rows.sparkSession.range(1, n.pos + 1 if n.neg else 1).withColumnRenamed("id", "draw").withColumn("slot", F.pmod(pick, F.lit(max(n.neg, 1))))
+    return rows.filter(F.col(y) == 1).withColumn("draw", F.lit(0).cast("long")).unionByName(draws.join(negative, "slot").drop("slot"))
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Recursive filters and small models as grouped Arrow kernels; a group is one recording or participant."""
+"""Recursive filters and peaks as Arrow kernels over arrays of samples."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,105 +15,25 @@ PHASIC = ("tonic_mean", "tonic_std", "tonic_slope", "phasic_mean", "phasic_std",
 
 
 def lowpass(samples: DataFrame, cutoff: float = 1.25, rate: float = 4.0) -> DataFrame:
-    """(pid, sid, i, x, smooth): each recording through a zero-phase low-pass filter of order 2."""
+    """(pid, sid, i, x, smooth): each recording (a session of one device) through a zero-phase low-pass filter of order 2."""
     b, a = signal.butter(2, cutoff, rate)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pdf.assign(smooth=signal.zero_phase(b, a, pdf["x"].to_numpy(float)))
+    @F.pandas_udf("array<double>")
+    def smooth(recordings: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in recordings:
+            yield pd.Series([signal.zero_phase(b, a, np.asarray(x, float)) for x in some], dtype=object)
 
-    return samples.select("pid", "sid", "i", "x").groupBy("pid", "sid").applyInPandas(kernel, "pid long, sid long, i long, x double, smooth double")
+    rows = samples.groupBy("pid", "sid").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"))
+    made = rows.withColumn("smooth", smooth(F.col("rows.x")))
+    return made.select("pid", "sid", F.explode(F.arrays_zip("rows", "smooth")).alias("v")).select("pid", "sid", "v.rows.i", "v.rows.x", "v.smooth")
 
 
 def phasic(windows: DataFrame) -> DataFrame:
-    """``windows`` (pid, sid, s, x) with phasic, tonic and response features, window by window."""
+    """(pid, sid, s, ...) of ``windows`` (pid, sid, s, x): phasic, tonic and response features, windows of one length side by side."""
 
     @F.pandas_udf(", ".join(f"{n} double" for n in PHASIC))
-    def features(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signal.phasic_features(np.asarray(v, float)) for v in x], columns=list(PHASIC))
+    def features(windows: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in windows:
+            yield pd.DataFrame(signal.phasic_features([np.asarray(v, float) for v in some]), columns=list(PHASIC))
 
     return windows.select("pid", "sid", "s", features("x").alias("f")).select("pid", "sid", "s", "f.*")
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 50) -> np.ndarray:
-    """Weights and intercept of an L2-penalised logistic regression (the intercept is free), by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 1 / c), 1e-9)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (weight * (p - y)) + penalty * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def balanced(y: np.ndarray) -> np.ndarray:
-    n = np.bincount(y.astype(int), minlength=2)
-    return len(y) / (2 * np.maximum(n, 1))[y.astype(int)]
-
-
-def logistic_cv(rows: DataFrame, features: list[str], c: float = 0.5) -> DataFrame:
-    """(pid, fold, y, score): out-of-fold scores of standardised, class-balanced logistic regressions, a participant a group.
-
-    Folds whose training or test part lacks a class are left out.
-    """
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for fold in sorted(pdf["fold"].unique()):
-            train, test = pdf[pdf["fold"] != fold], pdf[pdf["fold"] == fold]
-            if train["y"].nunique() < 2 or test["y"].nunique() < 2:
-                continue
-            x, y = train[features].to_numpy(float), train["y"].to_numpy(float)
-            mean, sd = x.mean(axis=0), x.std(axis=0)
-            sd[sd == 0] = 1
-            w = fit_logistic((x - mean) / sd, y, balanced(y), c)
-            z = (test[features].to_numpy(float) - mean) / sd @ w[:-1] + w[-1]
-            out.append(pd.DataFrame({"pid": test["pid"], "fold": test["fold"], "y": test["y"], "score": 1 / (1 + np.exp(-z))}))
-        return pd.concat(out) if out else pd.DataFrame({"pid": [], "fold": [], "y": [], "score": []})
-
-    return rows.select("pid", "fold", F.col("y").cast("int").alias("y"), *features).na.drop().groupBy("pid").applyInPandas(kernel, "pid long, fold long, y int, score double")
-
-
-def ridge_pretext(windows: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """(pid, n_train, n_val, rmse): next samples from a window's own, by multi-output ridge regression; the last tenth in time validates."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_start", "sid", "s"])
-        n = len(pdf) - len(pdf) // 10
-        if n < 2 or n == len(pdf):
-            return pd.DataFrame({"pid": [], "n_train": [], "n_val": [], "rmse": []})
-        x, y = np.stack(pdf["x"]).astype(float), np.stack(pdf["yf"]).astype(float)
-        mean, sd = x[:n].mean(), x[:n].std() or 1.0
-        x, y = np.column_stack([(x - mean) / sd, np.ones(len(x))]), (y - mean) / sd
-        w = np.linalg.solve(x[:n].T @ x[:n] + penalty * np.eye(x.shape[1]), x[:n].T @ y[:n])
-        return pd.DataFrame({"pid": [pdf["pid"].iloc[0]], "n_train": [n], "n_val": [len(pdf) - n], "rmse": [float(np.sqrt(np.mean((x[n:] @ w - y[n:]) ** 2)))]})
-
-    return windows.select("pid", "sid", "s", "t_start", "x", "yf").groupBy("pid").applyInPandas(kernel, "pid long, n_train long, n_val long, rmse double")
-
-
-def label_curve(rows: DataFrame, features: list[str], sizes: list[int], repeats: int, seed: int = 0) -> DataFrame:
-    """(n_labels, repeat, n_used, auc): models fitted on few labels of the training split, scored on the test split.
-
-    rows: (key, y, split, features), a bounded set of labelled windows; every job of the grid is a group of its own.
-    """
-    jobs = rows.sparkSession.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n_labels int, repeat int")
-    order = F.md5(F.concat_ws(":", F.lit(seed), "repeat", "key").cast("binary"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n_labels"].iloc[0])
-        train, test = pdf[pdf["split"] == "train"].sort_values("place"), pdf[pdf["split"] == "test"]
-        train = pd.concat([train[train["y"] == 1].head(n // 2), train[train["y"] == 0].head(n - n // 2)])
-        value = np.nan
-        if train["y"].nunique() == 2 and test["y"].nunique() == 2:
-            x, y = train[features].to_numpy(float), train["y"].to_numpy(float)
-            mean, sd = x.mean(axis=0), np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
-            w = fit_logistic((x - mean) / sd, y, np.ones(len(y)), 1.0)
-            r = pd.Series((test[features].to_numpy(float) - mean) / sd @ w[:-1]).rank().to_numpy()
-            p = test["y"].to_numpy() == 1
-            value = float((r[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum()))
-        return pd.DataFrame({"n_labels": [n], "repeat": [int(pdf["repeat"].iloc[0])], "n_used": [len(train)], "auc": [value if value == value else None]})
-
-    return rows.na.drop().crossJoin(F.broadcast(jobs)).withColumn("place", order).groupBy("n_labels", "repeat").applyInPandas(kernel, "n_labels int, repeat int, n_used long, auc double")

@@ -12,16 +12,29 @@ from pyspark.sql import functions as F
 BUCKET = 86_400.0
 
 
-def near_tags(samples: DataFrame, tags: DataFrame, radius: float, bucket: float = BUCKET) -> DataFrame:
-    """``samples`` (pid, t, ...) with before and after: seconds to the previous and next tag (pid, tag_t) of the participant, null beyond ``radius``."""
+def near_tags(samples: DataFrame, tags: DataFrame, radius: float, bucket: float = BUCKET, keys: tuple[str, ...] = ("pid",), kinds: tuple[str, ...] = ()) -> DataFrame:
+    """``samples`` (keys, t, ...) with before and after: seconds to the previous and next tag (keys, tag_t) with the same keys, null beyond ``radius``.
+
+    With ``kinds``, tags have a column kind, and before_k and after_k are those to tags of kind k, all in one pass.
+    Samples are sorted once: each tag of a bucket knows the next one there, a mark before all of them knows the first, and
+    the frame looks back only, so the work does not depend on how many samples a bucket holds.
+    """
     at = lambda c: F.floor(c / bucket)
-    spread = tags.select("pid", F.col("tag_t").alias("t"), F.explode(F.sequence(at(F.col("tag_t") - radius), at(F.col("tag_t") + radius))).alias("bucket"), F.lit(True).alias("is_tag"))
-    both = samples.withColumns({"bucket": at(F.col("t")), "is_tag": F.lit(False)}).unionByName(spread, allowMissingColumns=True)
-    w = Window.partitionBy("pid", "bucket").orderBy("t")
-    tag = F.when(F.col("is_tag"), F.col("t"))
-    found = both.withColumns({"before": F.col("t") - F.max(tag).over(w.rangeBetween(Window.unboundedPreceding, 0)), "after": F.min(tag).over(w.rangeBetween(0, Window.unboundedFollowing)) - F.col("t")})
-    within = lambda c: F.when(F.col(c) <= radius, F.col(c))
-    return found.filter(~F.col("is_tag")).withColumns({"before": within("before"), "after": within("after")}).drop("bucket", "is_tag")
+    kind = F.col("kind") if kinds else F.lit("")
+    spread = tags.select(*keys, F.col("tag_t").alias("t"), F.explode(F.sequence(at(F.col("tag_t") - radius), at(F.col("tag_t") + radius))).alias("bucket"), kind.alias("tag_kind"))
+    own = Window.partitionBy(*keys, "bucket", "tag_kind").orderBy("t")
+    known = spread.withColumn("next_tag", F.lead("t").over(own))
+    marks = spread.groupBy(*keys, "bucket", "tag_kind").agg(F.min("t").alias("next_tag")).withColumn("t", F.lit(float("-inf")))
+    both = samples.withColumns({"bucket": at(F.col("t")), "tag_kind": F.lit(None).cast("string")}).unionByName(known, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy(*keys, "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = lambda c: F.when(c <= radius, c)
+    last, found = {}, {}
+    for n, k in enumerate(kinds or ("",)):
+        last[f"last_{n}"] = F.max(F.when(F.col("tag_kind") == k, F.struct("t", "next_tag"))).over(back)
+        tag, end = F.col(f"last_{n}"), f"_{k}" if k else ""
+        found[f"before{end}"] = within(F.col("t") - tag["t"])
+        found[f"after{end}"] = within(F.when(tag["t"] == F.col("t"), 0.0).otherwise(tag["next_tag"] - F.col("t")))
+    return both.withColumns(last).filter(F.col("tag_kind").isNull()).withColumns(found).drop("bucket", "tag_kind", "next_tag", *last)
 
 
 def two_sided(near: float, buffer: float) -> Column:
@@ -45,10 +58,7 @@ def interval_labels(samples: DataFrame, tags: DataFrame, sessions: DataFrame, ra
     A tag is valid if its whole radius lies inside the recording (sessions: pid, sid, t0, t1); valid tags win.
     """
     ok = (F.col("tag_t") - radius >= F.col("t0")) & (F.col("tag_t") + radius <= F.col("t1"))
-    checked = tags.join(sessions.select("pid", "sid", "t0", "t1"), ["pid", "sid"]).select("pid", "sid", "tag_t", ok.alias("valid"))
-    part = lambda valid: checked.filter("valid" if valid else "not valid").select(F.concat_ws("/", F.col("pid"), F.col("sid")).alias("pid"), "tag_t")
-    keyed = samples.withColumns({"own": F.col("pid"), "pid": F.concat_ws("/", F.col("pid"), F.col("sid"))})
-    good = near_tags(keyed, part(True), radius).withColumn("good", F.least("before", "after")).drop("before", "after")
-    both = near_tags(good, part(False), radius)
-    y = F.when(F.col("good").isNotNull(), 1).when(F.least("before", "after").isNotNull(), -1).otherwise(0)
-    return both.withColumns({"y": y, "pid": F.col("own")}).drop("own", "good", "before", "after")
+    checked = tags.join(sessions.select("pid", "sid", "t0", "t1"), ["pid", "sid"]).select("pid", "sid", "tag_t", F.when(ok, "valid").otherwise("other").alias("kind"))
+    near = near_tags(samples, checked, radius, keys=("pid", "sid"), kinds=("valid", "other"))
+    inside = lambda k: F.coalesce(f"before_{k}", f"after_{k}").isNotNull()
+    return near.withColumn("y", F.when(inside("valid"), 1).when(inside("other"), -1).otherwise(0)).drop("before_valid", "after_valid", "before_other", "after_other")

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Score buckets for each doubling of a score's size.
+FINE = 4_096
+
+
+def score_bucket(score: Column) -> Column:
+    """A whole number that never falls as the score grows: a bucket for each 1 / FINE of a doubling, on either side of 0."""
+    size = F.floor(F.log2(F.abs(score)) * FINE) + 1_100 * FINE  # doubles reach down to 2^-1074
+    return F.when(score > 0, size).when(score < 0, -size).when(score == 0, F.lit(0).cast("long"))
+
+
 def auc(rows: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """(keys, n, n_pos, auc): ROC AUC with midranks for ties; null where a class is missing.
 
-    Scores are counted before they are ranked: the window sees distinct scores, not rows.
+    Scores are counted before they are ranked, and ranked inside buckets of like scores, so a group with most of the
+    rows is many tasks' work; only its buckets, whose number does not grow with the rows, are put in order.
     """
+    neg = F.col("n") - F.col("pos")
+    half = F.lit(2.0).cast("double")
     counts = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = counts.withColumn("won", F.col("pos") * (below + (F.col("n") - F.col("pos")) / F.lit(2.0).cast("double")))
-    out = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("won").alias("won"))
+    counts = counts.withColumn("bucket", score_bucket(F.col(score).cast("double")))
+    inside = F.coalesce(F.sum(neg).over(Window.partitionBy(*keys, "bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.withColumn("won", F.col("pos") * (inside + neg / half)).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("won").alias("won"))
+    below = F.coalesce(F.sum(neg).over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = parts.withColumn("won", F.col("won") + F.col("pos") * below).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("won").alias("won"))
     both = F.col("n_pos") * (F.col("n") - F.col("n_pos"))
     return out.select(*keys, "n", "n_pos", F.when(both > 0, F.col("won") / both).alias("auc"))
 

@@ -10,6 +10,38 @@ def shuffled(seed: int, *keys: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys])).cast("binary"))
 
 
+#: Ranges into which rows are dealt to be numbered.
+RANGES = 256
+
+
+def ranged(value: Column, bounds: list[float]) -> Column:
+    """How many of the ascending ``bounds`` are at most ``value``, by halving; one more than all of them for null."""
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < bounds[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return F.when(value.isNull(), len(bounds) + 1).otherwise(half(0, len(bounds)))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: their place, from 0, in the order of the numeric column ``key``.
+
+    Rows are dealt by approximate quantiles of the key; each range is numbered by itself, behind the count of those before
+    it.  The bounds are numbers once they are found, so counts and places are of the same ranges.  Null keys come last.
+    """
+    bounds = sorted(set(rows.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+    dealt = rows.withColumn("range", ranged(F.col(key).cast("double"), bounds))
+    counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}  # a row for each range
+    before, total = {}, 0
+    for r in sorted(counts):
+        before[r], total = total, total + counts[r]
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col(key).asc_nulls_last())) - 1
+    return dealt.withColumn(name, (first + place).cast("long")).drop("range")
+
+
 def overlap_groups(sessions: DataFrame) -> DataFrame:
     """``sessions`` (pid, sid, t0, t1, ...) with gid: recordings of a participant that overlap, directly or through others; touching is none."""
     w = Window.partitionBy("pid").orderBy("t0", "t1", "sid")
@@ -48,9 +80,33 @@ def random_group_split(groups: DataFrame, share: float, seed: int) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, strata: list[str], key: str, share: float, seed: int) -> DataFrame:
-    """``rows`` with split: round-half-even of ``share`` of each stratum is test."""
+    """``rows`` with split: round-half-even of ``share`` of each stratum is test.
+
+    Rows are ranked inside slices of their random order, behind the counts of the slices before, so that a stratum with most
+    of the rows is many tasks' work.
+    """
+    dealt = rows.withColumn("order", shuffled(seed, key)).withColumn("slice", F.substring("order", 1, 3))
     w = Window.partitionBy(*strata)
-    return rows.withColumn("split", F.when(F.row_number().over(w.orderBy(shuffled(seed, key), key)) <= F.bround(F.count("*").over(w) * share), "test").otherwise("train"))
+    counts = dealt.groupBy(*strata, "slice").agg(F.count("*").alias("n"))  # 4,096 rows of a stratum at most
+    before = F.coalesce(F.sum("n").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = counts.select(*[F.col(c).alias(f"{c}_") for c in strata], F.col("slice").alias("slice_"), before.alias("before"), F.bround(F.sum("n").over(w) * share).alias("wanted"))
+    same = F.col("slice") == F.col("slice_")
+    for c in strata:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    place = F.row_number().over(Window.partitionBy(*strata, "slice").orderBy("order", key))
+    ranked = dealt.join(slices, same).withColumn("place", F.col("before") + place)
+    return ranked.withColumn("split", F.when(F.col("place") <= F.col("wanted"), "test").otherwise("train")).select(*rows.columns, "split")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int | Column, deal: list[str]) -> DataFrame:
+    """The first ``n`` rows of each group in an order, with a column place from 1; groups are thinned where they are before they meet.
+
+    n: a number, or a column of the group's rows.  Rows are dealt by a hash of the columns ``deal``, each part keeps its
+    first n, and those of all parts meet.
+    """
+    for by in ([*keys, F.pmod(F.xxhash64(*deal), F.lit(256))], list(keys)):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
+    return rows
 
 
 def tail_split(rows: DataFrame, block: str, order: str, k: Column) -> DataFrame:
@@ -58,8 +114,29 @@ def tail_split(rows: DataFrame, block: str, order: str, k: Column) -> DataFrame:
     return rows.withColumn("split", F.when(F.row_number().over(Window.partitionBy(block).orderBy(F.desc(order))) <= k, "test").otherwise("train"))
 
 
+def guarded_split(groups: DataFrame, share: float = 0.2) -> DataFrame:
+    """``groups`` (pid, gid, t0, weight, stress) with split: as ``chrono_split``, then with stress on either side where it can be.
+
+    Without stress in the test part, it grows backwards up to the latest group with stress; then, without stress left to
+    train on, the test part loses its earliest groups up to and with the first that has stress.
+    """
+    w = Window.partitionBy("pid")
+    stress, test, me = F.col("stress"), F.col("split") == "test", F.struct("t0", "gid")
+    one = chrono_split(groups, share).withColumns({"edge": F.max(F.when(stress, me)).over(w), "n": F.count_if(stress & test).over(w)})
+    one = one.withColumn("split", F.when((F.col("n") == 0) & (me >= F.col("edge")), "test").otherwise(F.col("split")))
+    two = one.withColumns({"edge": F.min(F.when(stress & test, me)).over(w), "n": F.count_if(stress & ~test).over(w)})
+    return two.withColumn("split", F.when((F.col("n") == 0) & (me <= F.col("edge")), "train").otherwise(F.col("split"))).drop("edge", "n")
+
+
 def leaks(rows: DataFrame) -> DataFrame:
-    """Violations in ``rows`` (pid, gid, t0, split): groups on both sides, and participants whose training does not start before the test."""
+    """(pid, leak): violations in ``rows`` (pid, sid, gid, t0, split).
+
+    Groups on both sides; recordings of the training part that are in the test part, too (a semi join that should be empty);
+    participants whose training does not start before the test; rows without a split.
+    """
     both = rows.groupBy("pid", "gid").agg(F.count_distinct("split").alias("n")).filter("n > 1").select("pid", F.lit("group on both sides").alias("leak"))
+    part = lambda s: rows.filter(F.col("split") == s)
+    shared = part("train").select("pid", "sid").distinct().join(part("test").select("pid", "sid"), ["pid", "sid"], "left_semi").select("pid", F.lit("recording on both sides").alias("leak"))
     late = rows.groupBy("pid").agg(F.max(F.when(F.col("split") == "train", F.col("t0"))).alias("a"), F.min(F.when(F.col("split") == "test", F.col("t0"))).alias("b")).filter("a >= b").select("pid", F.lit("training after test").alias("leak"))
-    return both.unionByName(late)
+    none = rows.filter("split is null").select("pid", F.lit("no split").alias("leak"))
+    return both.unionByName(shared).unionByName(late).unionByName(none)

@@ -14,26 +14,73 @@ def with_sessions(samples: DataFrame, gap: float) -> DataFrame:
     return numbered.withColumn("i", (F.row_number().over(Window.partitionBy("pid", "sid").orderBy("t", "event_id")) - 1).cast("long"))
 
 
-def windows(samples: DataFrame, step: int, horizon: int = 0, least_mean: float | None = None) -> DataFrame:
+def long_enough(samples: DataFrame, least: int, beats: DataFrame | None = None, least_beats: int = 0) -> DataFrame:
+    """The samples (pid, sid, ...) of recordings of ``least`` samples or more, and of ``least_beats`` beats (pid, sid, ...) where these are given."""
+    keep = samples.groupBy("pid", "sid").count().filter(F.col("count") >= least).select("pid", "sid")
+    if beats is not None:
+        keep = keep.join(beats.groupBy("pid", "sid").count().filter(F.col("count") >= least_beats), ["pid", "sid"], "left_semi")
+    return samples.join(keep, ["pid", "sid"], "left_semi")
+
+
+def windows(samples: DataFrame, step: int, horizon: int = 0, least_mean: float | None = None, others: tuple[str, ...] = ()) -> DataFrame:
     """(pid, sid, s, t_start, x, yf, y, any, n, total, mean): windows of two panes of ``step`` samples (pid, sid, i, t, x, y), each ``step`` apart.
 
-    Only full windows, followed by ``horizon`` more samples (at most ``step``), whose values are yf.  y is the label
-    that all samples share, else -1; any says whether one is 1.  Windows below ``least_mean`` are left out before labels are looked at.
+    Only full windows, followed by ``horizon`` more samples (at most ``step``; ValueError beyond), whose values are yf.  y is
+    the label that all samples share, else -1; any says whether one is 1.  Windows below ``least_mean`` are left out before
+    labels are looked at.  ``others`` are columns cut at the same places, into columns of their names and name_yf; their
+    t_last is the time of a window's last sample.
     """
+    if horizon > step:
+        raise ValueError("the horizon is longer than a step")
+    signals = ("x", *others)
+    rows = F.array_sort(F.collect_list(F.struct("i", *signals)))
     pane = samples.groupBy("pid", "sid", F.floor(F.col("i") / step).alias("pane")).agg(
-        F.count("*").alias("n"), F.sum("x").alias("total"), F.min("y").alias("low"), F.max("y").alias("high"), F.min("t").alias("t_start"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x")
+        F.count("*").alias("n"), F.sum("x").alias("total"), F.min("y").alias("low"), F.max("y").alias("high"), F.min("t").alias("t_start"), F.max("t").alias("t_last"), rows.alias("rows")
     )
     w = Window.partitionBy("pid", "sid").orderBy("pane")
-    two = pane.withColumns({f"{c}2": F.lead(c).over(w) for c in ("n", "total", "low", "high", "x")} | {"x3": F.lead("x", 2).over(w)})
+    two = pane.withColumns({f"{c}2": F.lead(c).over(w) for c in ("n", "total", "low", "high", "rows", "t_last")} | {"rows3": F.lead("rows", 2).over(w)})
     full = (F.col("n") == step) & (F.col("n2") == step)
     if horizon:
-        full &= F.size("x3") >= horizon
+        full &= F.size("rows3") >= horizon
     total = F.col("total") + F.col("total2")
     low, high = F.least("low", "low2"), F.greatest("high", "high2")
-    out = two.filter(full).select("pid", "sid", (F.col("pane") * step).cast("long").alias("s"), "t_start", F.concat("x", "x2").alias("x"), F.slice(F.coalesce("x3", F.array().cast("array<double>")), 1, max(horizon, 1)).alias("yf"), F.when((low == high) & (low != -1), low).otherwise(-1).alias("y"), (high == 1).alias("any"), F.lit(2 * step).alias("n"), total.alias("total"), (total / (2 * step)).alias("mean"))
+    of = lambda c, x: F.transform(c, lambda v: v[x])
+    ahead = F.slice(F.coalesce("rows3", F.slice("rows", 1, 0)), 1, max(horizon, 1))
+    cut = [c for x in signals for c in (F.concat(of("rows", x), of("rows2", x)).alias(x), of(ahead, x).alias("yf" if x == "x" else f"{x}_yf"))]
+    times = [F.col("t_last2").alias("t_last")] if others else []
+    y = F.when((low == high) & (low != -1), low).otherwise(-1).alias("y")
+    out = two.filter(full).select("pid", "sid", (F.col("pane") * step).cast("long").alias("s"), "t_start", *times, *cut, y, (high == 1).alias("any"), F.lit(2 * step).alias("n"), total.alias("total"), (total / (2 * step)).alias("mean"))
     return out if least_mean is None else out.filter(F.col("mean") >= least_mean)
 
 
+def block_windows(samples: DataFrame, width: int, horizon: int, step: int, most: dict[int, int] | None = None) -> DataFrame:
+    """(subject, block, start): starts of windows of ``width`` samples in each block (subject, i, block), ``step`` apart from its first sample.
+
+    A block spans from its first to its last sample, whatever lies between; ``width`` and ``horizon`` samples fit behind
+    each start.  ``most`` keeps the first so many starts of a block.
+    """
+    span = samples.groupBy("subject", "block").agg(F.min("i").alias("a"), F.max("i").alias("z"))
+    limit = F.lit(None).cast("long")
+    for b, n in (most or {}).items():
+        limit = F.when(F.col("block") == b, F.lit(n).cast("long")).otherwise(limit)
+    last = F.col("z") - width - horizon
+    fits = span.filter(last >= F.col("a")).select("subject", "block", F.posexplode(F.sequence(F.col("a"), last, F.lit(step).cast("long"))).alias("k", "start"), limit.alias("most"))
+    return fits.filter(F.col("most").isNull() | (F.col("k") < F.col("most"))).select("subject", "block", "start")
+
+
+def covered(samples: DataFrame, starts: DataFrame, width: int) -> DataFrame:
+    """The rows of ``samples`` (subject, i, ...) that lie in any window (subject, start) of ``width`` samples, each once."""
+    marks = starts.select("subject", F.col("start").alias("i"), F.lit(True).alias("is_start")).distinct()
+    last = F.max(F.when(F.col("is_start"), F.col("i"))).over(Window.partitionBy("subject").orderBy("i").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return samples.unionByName(marks, allowMissingColumns=True).withColumn("last", last).filter(F.col("is_start").isNull() & (F.col("i") - F.col("last") < width)).drop("last", "is_start")
+
+
+def segment_windows(segments: DataFrame, width: int, step: int) -> DataFrame:
+    """``segments`` (first, last, ...) with start: each start of ``width`` samples, ``step`` apart, that fit before last; overlapping segments repeat them."""
+    end = F.col("last") - width
+    return segments.filter(end >= F.col("first")).withColumn("start", F.explode(F.sequence(F.col("first"), end, F.lit(step).cast("long"))))
+
+
 def spans(samples: DataFrame, panes: int, step: int) -> DataFrame:
     """(pid, sid, s, total): windows of any number of panes, by a frame over panes."""
     pane = samples.groupBy("pid", "sid", F.floor(F.col("i") / step).alias("pane")).agg(F.count("*").alias("n"), F.sum("x").alias("total"))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import balance, kernels, labels, metrics, splits, windows
+from ..operators import balance, kernels, labels, metrics, models, splits, windows
+from ..operators import beats as heart
 from ..sources.tables import GAP, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,17 +62,19 @@ def labelled(spark: SparkSession, d: str, rule=labels.two_sided) -> DataFrame:
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
-    return windows.with_sessions(labelled(spark, d), GAP)
+    """Samples by session; without labels, which cost a pass of their own."""
+    return windows.with_sessions(samples(spark, d), GAP)
 
 
 def session_table(rec: DataFrame) -> DataFrame:
     return rec.groupBy("pid", "sid").agg(F.min("t").alias("t0"), (F.max("t") + 3600).alias("t1"), F.count("*").alias("n"), F.count_if("tag").alias("tags"))
 
 
-def whole(spark: SparkSession, d: str) -> DataFrame:
-    """A participant's samples as one recording."""
+def whole(spark: SparkSession, d: str, rule=labels.two_sided) -> DataFrame:
+    """A participant's samples as one recording, labelled unless ``rule`` is None."""
     w = Window.partitionBy("pid").orderBy("t", "event_id")
-    return labelled(spark, d).withColumns({"sid": F.lit(0).cast("long"), "i": (F.row_number().over(w) - 1).cast("long")})
+    s = labelled(spark, d, rule) if rule else samples(spark, d)
+    return s.withColumns({"sid": F.lit(0).cast("long"), "i": (F.row_number().over(w) - 1).cast("long")})
 
 
 def cut(spark: SparkSession, d: str, least_mean: float | None = None) -> DataFrame:
@@ -136,7 +139,7 @@ def q02(spark, d):
 @query("q03_interval_labels_valid_events", f"""SELECT a.event_id, coalesce(max(CASE WHEN b.t - {NEAR} >= e.t0 AND b.t + {NEAR} <= e.t1 THEN 1 WHEN b.t IS NOT NULL THEN -1 END), 0) AS y
 FROM s a JOIN ses e ON a.pid = e.pid AND a.sid = e.sid LEFT JOIN s b ON a.pid = b.pid AND a.sid = b.sid AND b.tag AND abs(a.t - b.t) <= {NEAR} GROUP BY a.event_id""")
 def q03(spark, d):
-    rec = recordings(spark, d).drop("y")
+    rec = recordings(spark, d)
     tags = rec.filter("tag").select("pid", "sid", F.col("t").alias("tag_t"))
     return labels.interval_labels(rec, tags, session_table(rec), NEAR).select("event_id", "y")
 
@@ -161,7 +164,7 @@ def q06(spark, d):
 
 @query("q06b_window_spans", "SELECT pid, 3 * pane AS s, round(total, 4) AS total FROM (SELECT pid, pane, sum(n) OVER v AS m, sum(total) OVER v AS total FROM (SELECT pid, i // 3 AS pane, count(*) AS n, sum(x) AS total FROM r GROUP BY pid, i // 3) WINDOW v AS (PARTITION BY pid ORDER BY pane ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE m = 21")
 def q06b(spark, d):
-    return windows.spans(whole(spark, d), 7, 3).select("pid", "s", F.round("total", 4).alias("total"))
+    return windows.spans(whole(spark, d, None), 7, 3).select("pid", "s", F.round("total", 4).alias("total"))
 
 
 # ---- groups, splits, folds -------------------------------------------------------------------------
@@ -200,7 +203,7 @@ def q12(spark, d):
 
 @query("q12b_tail_split", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY pid ORDER BY i DESC) <= 7 THEN 'test' ELSE 'train' END AS split FROM r")
 def q12b(spark, d):
-    return splits.tail_split(whole(spark, d), "pid", "i", F.lit(7)).select("event_id", "split")
+    return splits.tail_split(whole(spark, d, None), "pid", "i", F.lit(7)).select("event_id", "split")
 
 
 @query("q13_leakage_violations", DEV + """, x AS (SELECT og.pid, og.gid, og.t0, split FROM og JOIN split USING (pid, gid))
@@ -218,7 +221,7 @@ def q13(spark, d):
 SELECT event_id, split, round((x - min(CASE WHEN split = 'train' THEN x END) OVER (PARTITION BY pid)) / (max(CASE WHEN split = 'train' THEN x END) OVER (PARTITION BY pid) - min(CASE WHEN split = 'train' THEN x END) OVER (PARTITION BY pid) + 1e-12), 6) AS x FROM z""")
 def q14(spark, d):
     w = Window.partitionBy("pid")
-    z = whole(spark, d).withColumn("split", F.when(F.col("i") < 0.8 * F.count("*").over(w), "train").otherwise("test"))
+    z = whole(spark, d, None).withColumn("split", F.when(F.col("i") < 0.8 * F.count("*").over(w), "train").otherwise("test"))
     train = F.when(F.col("split") == "train", F.col("x"))
     return z.select("event_id", "split", F.round((F.col("x") - F.min(train).over(w)) / (F.max(train).over(w) - F.min(train).over(w) + F.lit(1e-12)), 6).alias("x"))
 
@@ -288,8 +291,7 @@ def beats(spark: SparkSession, d: str) -> DataFrame:
 @query("q22_hrv_features", BEATS + """, dd AS (SELECT *, rr - lag(rr) OVER (PARTITION BY pid ORDER BY bt) AS d FROM ok)
 SELECT pid, count(*) AS n_beats, round(avg(rr), 6) AS mean_rr, round(stddev_pop(rr), 6) AS sdnn, round(sqrt(avg(d * d)), 6) AS rmssd, round(avg(CAST(abs(d) > 0.05 AS INTEGER)), 6) AS pnn50, round(60 / avg(rr), 6) AS mean_hr FROM dd GROUP BY pid""")
 def q22(spark, d):
-    x = beats(spark, d).withColumn("d", F.col("rr") - F.lag("rr").over(Window.partitionBy("pid").orderBy("bt")))
-    return rounded(x.groupBy("pid").agg(F.count("*").alias("n_beats"), F.avg("rr").alias("mean_rr"), F.stddev_pop("rr").alias("sdnn"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), F.avg((F.abs("d") > 0.05).cast("int")).alias("pnn50"), (60 / F.avg("rr")).alias("mean_hr")))
+    return rounded(heart.variability(beats(spark, d), ["pid"]))
 
 
 SPAN = 86_400.0
@@ -297,11 +299,7 @@ SPAN = 86_400.0
 
 @query("q23_beats_in_window", BEATS + f", k AS (SELECT pid, s, t_start FROM w) SELECT k.pid, k.s, count(ok.bt) AS n_beats FROM k LEFT JOIN ok ON ok.pid = k.pid AND ok.bt >= k.t_start AND ok.bt < k.t_start + {SPAN} GROUP BY k.pid, k.s")
 def q23(spark, d):
-    # beats meet the two buckets that a window of one bucket's length can touch
-    b = beats(spark, d).select("pid", "bt", F.floor(F.col("bt") / SPAN).alias("k"))
-    w = cut(spark, d).select("pid", "s", "t_start", F.explode(F.array(F.floor(F.col("t_start") / SPAN), F.floor(F.col("t_start") / SPAN) + 1)).alias("k"))
-    hit = (F.col("bt") >= F.col("t_start")) & (F.col("bt") < F.col("t_start") + SPAN)
-    return w.join(b, ["pid", "k"], "left").groupBy("pid", "s").agg(F.count_if(hit).alias("n_beats"))
+    return heart.beats_in(cut(spark, d), beats(spark, d), SPAN).groupBy("pid", "s").agg(F.count("bt").alias("n_beats"))
 
 
 @query("q24_beat_count_rank_diff", BEATS + ", e AS (SELECT pid, s, t_start AS a, lead(t_start, 2) OVER (PARTITION BY pid ORDER BY s) AS z FROM w) SELECT e.pid, e.s, count(ok.bt) AS n_beats FROM e LEFT JOIN ok ON ok.pid = e.pid AND ok.bt >= e.a AND ok.bt < e.z WHERE e.z IS NOT NULL GROUP BY e.pid, e.s")
@@ -319,13 +317,9 @@ v AS (SELECT *, max(CASE WHEN rr IS NOT NULL THEN t END) OVER a AS ta, min(CASE
 j AS (SELECT v.*, a.rr AS ra, z.rr AS rz FROM v LEFT JOIN ok a ON a.pid = v.pid AND a.bt = v.ta LEFT JOIN ok z ON z.pid = v.pid AND z.bt = v.tz WHERE event_id IS NOT NULL)
 SELECT event_id, round(CASE WHEN ra IS NULL THEN rz WHEN rz IS NULL OR tz = ta THEN ra ELSE ra + (rz - ra) * (t - ta) / (tz - ta) END, 6) AS rr FROM j WHERE ra IS NOT NULL OR rz IS NOT NULL""")
 def q25(spark, d):
-    grid = samples(spark, d).select("pid", "event_id", "t")
-    both = grid.unionByName(beats(spark, d).select("pid", F.col("bt").alias("t"), "rr"), allowMissingColumns=True)
-    w = Window.partitionBy("pid").orderBy("t")
-    beat = F.when(F.col("rr").isNotNull(), F.struct("t", "rr"))
-    x = both.withColumns({"a": F.max(beat).over(w.rangeBetween(Window.unboundedPreceding, 0)), "z": F.min(beat).over(w.rangeBetween(0, Window.unboundedFollowing))}).filter("event_id is not null and (a is not null or z is not null)")
-    line = F.col("a.rr") + (F.col("z.rr") - F.col("a.rr")) * (F.col("t") - F.col("a.t")) / (F.col("z.t") - F.col("a.t"))
-    return x.select("event_id", F.round(F.when(F.col("a").isNull(), F.col("z.rr")).when(F.col("z").isNull() | (F.col("z.t") == F.col("a.t")), F.col("a.rr")).otherwise(line), 6).alias("rr"))
+    grid = samples(spark, d).withColumn("sid", F.lit(0).cast("long"))
+    found = heart.tachogram(grid, beats(spark, d).withColumn("sid", F.lit(0).cast("long")))
+    return found.filter("rr is not null").select("event_id", F.round("rr", 6).alias("rr"))
 
 
 def long_sessions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -459,12 +453,12 @@ def q42(spark, d):
     return balance.undersample_with_replacement(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", SEED).select("doc_id", "y", "draw")
 
 
-def vectors(spark: SparkSession, d: str, condition: str = "label < 2") -> DataFrame:
-    """The vectors, as windows: those of two labels, as the SQL of q43 and q44 has them, unless told otherwise."""
-    return table(spark, d, "embeddings").filter(condition).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of every label, as windows."""
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-KNN = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 2),
+KNN = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 di AS (SELECT a.vec_id, b.vec_id AS other, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
 nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, other) AS INTEGER) AS rank FROM di)
 """
@@ -483,19 +477,9 @@ def q44(spark, d):
     return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
-# the same over every label: the whole table
-KNN_ALL = KNN.replace(" WHERE label < 2", "")
-
-
-@query("q43b_knn_topk_all", KNN_ALL + ORACLE["q43_knn_topk"].removeprefix(KNN), shared=False)
-def q43b(spark, d):
-    return rounded(balance.neighbours(vectors(spark, d, "true"), 5, group="label").select("vec_id", "rank", "other", "dist"))
-
-
-@query("q44b_smote_all", KNN_ALL + ORACLE["q44_smote"].removeprefix(KNN), shared=False)
-def q44b(spark, d):
-    s = balance.smote(vectors(spark, d, "true"), 5, SEED, group="label")
-    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
+# names that these two had beside forms over two labels only
+for old, new in (("q43b_knn_topk_all", "q43_knn_topk"), ("q44b_smote_all", "q44_smote")):
+    QUERIES[old], ORACLE[old] = QUERIES[new], ORACLE[new]
 
 
 @query("q45_norm_artefact", ", f AS (SELECT pid, s, y, stddev_pop(x) AS sd, max(x) - min(x) AS rg FROM wx WHERE y >= 0 GROUP BY pid, s, y) SELECT y, count(*) AS n, round(median(sd), 6) AS median_std, round(median(rg), 6) AS median_range, round(avg(CAST(rg < 100 AS INTEGER)), 6) AS share_flat FROM f GROUP BY y")
@@ -537,7 +521,7 @@ def q47(spark, d):
 
 @query("q48_lowpass_filtfilt")
 def q48(spark, d):
-    return rounded(kernels.lowpass(whole(spark, d)))
+    return rounded(kernels.lowpass(recordings(spark, d)))
 
 
 @query("q49_phasic_tonic_scr")
@@ -554,22 +538,29 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     return points(cut(spark, d).withColumn("y", F.col("any").cast("int"))).groupBy("pid", "s", "y").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.regr_slope("x", F.col("i") / F.lit(4.0)).alias("slope"), (F.max(x) - F.min(x)).alias("range"))
 
 
+def cohorts(rows: DataFrame) -> DataFrame:
+    """Personal models need more rows than this table has of one user: users of one last digit make a cohort."""
+    return rows.withColumn("pid", F.col("pid") % 10)
+
+
 @query("q50_logreg_cv_auc")
 def q50(spark, d):
-    # personal models need more rows than this table has of one user: tens of users make a cohort
-    rows = feature_rows(spark, d).withColumn("pid", F.col("pid") % 10)
-    oof = kernels.logistic_cv(splits.window_folds(rows, 5, "s", "mean"), FEATURES)
+    rows = cohorts(feature_rows(spark, d).withColumn("user", F.col("pid")))
+    oof = models.logistic_cv(splits.window_folds(rows, 5, "s", "user"), FEATURES)
     fold = metrics.auc(oof, ["pid", "fold"]).groupBy("pid").agg(F.avg("auc").alias("fold_mean_auc"))
     return rounded(metrics.auc(oof, ["pid"]).join(fold, "pid"))
 
 
 @query("q51_ridge_pretext")
 def q51(spark, d):
-    return rounded(kernels.ridge_pretext(cut(spark, d).withColumn("pid", F.col("pid") % 10)))
+    return rounded(models.ridge_pretext(cohorts(cut(spark, d).withColumn("sid", F.col("pid")))))
 
 
 @query("q52_label_curve_models")
 def q52(spark, d):
     rows = feature_rows(spark, d).withColumn("key", F.concat_ws("/", "pid", "s"))
     split = splits.stratified_split(rows, ["y"], "key", 0.3, SEED)
-    return rounded(kernels.label_curve(split.select("key", "y", "split", *FEATURES), FEATURES, [10, 20, 50, 100], 3))
+    return rounded(models.label_curve(split.select("key", "y", "split", *FEATURES), FEATURES, [10, 20, 50, 100], 3))
+
+
+from . import protocols, reports  # noqa: E402, F401  (they register their queries)

@@ -56,7 +56,8 @@ def sessions(signal: DataFrame) -> DataFrame:
 
 def read_questionnaire(spark: SparkSession, path: str) -> DataFrame:
     """(subject, block, items): ``# ORDER`` names the blocks, each ``# STAI`` row their six items, divided by 4."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_quest\.csv$", 1).alias("subject"), F.monotonically_increasing_id().alias("at"), F.split("value", ";").alias("f"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_quest\.csv$", 1).alias("subject"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    rows = files.select("subject", "at", F.split("line", ";").alias("f"))
     full = lambda c: F.filter(F.slice(c, 2, F.size(c)), lambda v: F.trim(v) != "")
     order = rows.filter(F.trim(F.col("f")[0]) == "# ORDER").select("subject", F.posexplode(full(F.col("f"))).alias("k", "block"))
     stai = rows.filter(F.trim(F.col("f")[0]) == "# STAI").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("a")).select("subject", F.posexplode("a").alias("k", "r"))
@@ -80,13 +81,38 @@ def read_results(spark: SparkSession, paths: list[str], schema: str, key: str |
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
-    """Windows as Parquet, a folder for each participant and split."""
-    windows.write.mode("overwrite").partitionBy("pid", "split").option("compression", "zstd").parquet(path)
+    """Windows as Parquet, a folder for each participant and split; participants that are written again replace their own folders only."""
+    windows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pid", "split").option("compression", "zstd").parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A small report as one CSV file; running again replaces it."""
-    report.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def read_windows(spark: SparkSession, path: str, pids: list | None = None) -> DataFrame:
+    """Windows of ``write_windows``, of the named participants only if any are named: the folders of others are not read."""
+    rows = spark.read.parquet(path)
+    return rows if pids is None else rows.filter(F.col("pid").isin(pids))
+
+
+def flat(report: DataFrame) -> DataFrame:
+    """``report`` with the fields of its structs as columns of joined names, as a file of plain rows needs them."""
+    columns = []
+    for f in report.schema.fields:
+        inner = f.dataType.fieldNames() if hasattr(f.dataType, "fieldNames") else []
+        columns += [F.col(f"`{f.name}`.`{x}`").alias(f"{f.name}_{x}") for x in inner] or [F.col(f"`{f.name}`")]
+    return report.select(*columns)
+
+
+def write_report(report: DataFrame, path: str, index: list[str] | None = None, mode: str = "overwrite") -> None:
+    """A small report as one CSV file, index columns first; running again replaces it, or adds to it with ``mode`` append."""
+    rows = flat(report)
+    first = index or []
+    rows.select(*first, *[c for c in rows.columns if c not in first]).coalesce(1).write.mode(mode).csv(path, header=True)
+
+
+def saved(spark: SparkSession, path: str, make) -> DataFrame:
+    """The model's parameters at ``path``; where there are none, ``make`` is called and what it returns is kept there."""
+    h = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not h.getFileSystem(spark._jsc.hadoopConfiguration()).exists(h):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_config(spark: SparkSession, config: dict, path: str) -> None:

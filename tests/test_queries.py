@@ -12,8 +12,9 @@ def test_matches_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_has_rows(spark, name):
+    # what they compute is held against brute force in test_models.py and test_properties.py
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
