@@ -52,17 +52,17 @@ def flagged(df: DataFrame, key, listed: DataFrame, flag: str) -> DataFrame:
 HOT = 1_024
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, how: str = "inner", hot: int | None = None) -> DataFrame:
     """``rows`` joined with ``found`` (a row for each key; ``n``: how many of the ``total`` rows have it) on ``key``; ``how``: inner or left.
 
-    The hot keys, fewer than HOT narrow rows, are broadcast, so the rows of one stay where they are; the others meet
+    The hot keys, fewer than ``hot`` (HOT unless given) narrow rows, are broadcast, so the rows of one stay where they are; the others meet
     their keys in a shuffle, where none has more than its share.
     """
-    hot = F.col(n) > total / HOT
+    often = F.col(n) > total / (hot or HOT)
     flag = free_name(rows, "hot_")
-    first = rows.join(F.broadcast(found.filter(hot).withColumn(flag, F.lit(True))), key, "left")
+    first = rows.join(F.broadcast(found.filter(often).withColumn(flag, F.lit(True))), key, "left")
     cold = first.filter(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns])
-    return first.filter(flag).drop(flag).unionByName(cold.join(found.filter(~hot), key, how))
+    return first.filter(flag).drop(flag).unionByName(cold.join(found.filter(~often), key, how))
 
 
 def kept_rows(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -242,7 +242,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     single = table.join(nodes, (table["sha"] == nodes["sha"]) & (table["row_id"] == nodes["node"])).select("node", "rare", F.posexplode_outer("keys").alias("band", "key"))
     places = single.filter("key is not null").select("node", F.xxhash64("band", "key").alias("bucket"), F.struct("rare", F.xxhash64("node").alias("tie"), "node").alias("order"))
     buckets = places.groupBy("bucket").agg(F.count("*").alias("size"), F.min("order")["node"].alias("centre")).filter("size > 1")
-    members = written(places.drop("order").join(buckets, "bucket"), "near-members")
+    members = written(looked_up(places.drop("order"), buckets, "bucket", "size", bands * nodes.count()), "near-members")
     stars = written(ordered(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-stars")
     involved = written(members.select("node").distinct().join(table.select(F.col("row_id").alias("node"), "doc_id", "sha"), "node").withColumnRenamed("doc_id", "id"), "near-involved")
     # only the texts of bucket members are shuffled, by one plan at every size
