@@ -41,7 +41,9 @@ END = b""
 NOTES = b" notes"
 #: A use of a word: the document's place in its slab, and how often.
 USE = np.dtype([("doc", "<u2"), ("n", "<u4")])
-SLAB_DOCS, MOST_SLABS = 8_192, 256
+SLAB_DOCS = 8_192
+#: Uses that a task sums at once.
+HELD = 1_500_000
 
 
 class Pieces:
@@ -110,13 +112,21 @@ def hashed(ids: dict[bytes, int], seed: np.uint64) -> tuple[np.ndarray, np.ndarr
     return slot_keys, slot_ids
 
 
-def looked_up(h: np.ndarray, table: tuple, missing: int) -> np.ndarray:
+def piece_ids(h: np.ndarray, table: tuple, missing: int) -> np.ndarray:
     keys, ids = table
     m = h * MULTIPLY
     a, b = (m >> U(44)).astype(np.int64), ((m >> U(24)) & U(0xFFFFF)).astype(np.int64)
     return np.where((keys[a] == h) & (ids[a] >= 0), ids[a], np.where((keys[b] == h) & (ids[b] >= 0), ids[b], missing))
 
 
+class Ids(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+
 def log_sum(parts: list[np.ndarray]) -> np.ndarray:
     x = np.stack(parts)
     top = x.max(axis=0)
@@ -130,9 +140,9 @@ def edges(part: np.ndarray, pieces: Pieces) -> tuple[list[np.ndarray], dict[tupl
     n, missing = part.shape[1], pieces.size
     wide = part.astype(U)
     h = rolling(wide, START)
-    begin = [looked_up(h[:, j], pieces.first_table, missing) if j <= pieces.most else np.full(len(part), missing) for j in range(n + 1)]
+    begin = [piece_ids(h[:, j], pieces.first_table, missing) if j <= pieces.most else np.full(len(part), missing) for j in range(n + 1)]
     h = rolling(wide, U(0))
-    inner = {(i, j): looked_up(h[:, j] - h[:, i] * pieces.power[j - i], pieces.inner_table, missing) for j in range(1, n + 1) for i in range(max(0, j - pieces.most), j)}
+    inner = {(i, j): piece_ids(h[:, j] - h[:, i] * pieces.power[j - i], pieces.inner_table, missing) for j in range(1, n + 1) for i in range(max(0, j - pieces.most), j)}
     return begin, inner
 
 
@@ -272,35 +282,36 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slab = TaskContext.get().partitionId() << 24
 
-        def rows(lists: dict, notes: list) -> pa.RecordBatch:
-            words = sorted(lists)
-            packed = [np.array(lists[w], USE).tobytes() for w in words]
-            train = [sum(n for o, n in lists[w] if not notes[o][1]) for w in words]
-            words, packed, train = [*words, NOTES], [*packed, noted(notes)], [*train, 0]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([slab] * len(words), pa.int64()), pa.array(train, pa.int64()), pa.array(packed, pa.binary())], names=["word", "slab", "train", "uses"])
-
-        lists: dict = {}
-        notes: list = []
-        size = 0
+        def rows(words: Ids, notes: list, ids: list, times: list) -> pa.RecordBatch:
+            sizes = [len(x) for x in ids]
+            word, n = np.concatenate(ids), np.concatenate(times)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            taught = np.array([not held for _, held, _ in notes], float)[doc]
+            train = np.bincount(word, n * taught, minlength=len(words)).astype(np.int64)
+            order = np.argsort(word, kind="stable")
+            uses = np.empty(len(word), USE)
+            uses["doc"], uses["n"] = doc[order], n[order]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]) * USE.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(uses.tobytes())]).cast(pa.binary())
+            columns = [pa.array([*words, NOTES], pa.binary()), pa.array([slab] * (len(words) + 1), pa.int64()), pa.array(np.append(train, 0)), pa.concat_arrays([packed, pa.array([noted(notes)], pa.binary())])]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "slab", "train", "uses"])
+
+        words, notes, ids, times, size = Ids(), [], [], [], 0
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary() if pa.types.is_large_string(batch.column(2).type) else pa.binary())
             for who, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 found = Counter(t.as_py().lower().split())
                 found[END] = 1
-                at = len(notes)
-                notes.append((who, held, sum(found.values())))
-                for w, n in found.items():
-                    if w in lists:
-                        lists[w].append((at, n))
-                    else:
-                        lists[w] = [(at, n)]
+                times.append(np.fromiter(found.values(), np.uint32, len(found)))
+                ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                notes.append((who, held, int(times[-1].sum())))
                 size += len(found)
                 if size > 1_500_000 or len(notes) == SLAB_DOCS:
-                    yield rows(lists, notes)
-                    lists, notes, size = {}, [], 0
+                    yield rows(words, notes, ids, times)
+                    words, notes, ids, times, size = Ids(), [], [], [], 0
                     slab += 1
         if notes:
-            yield rows(lists, notes)
+            yield rows(words, notes, ids, times)
 
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (crc_mod(f"`{doc_id}`", modulus) == held_out).alias("held_out"), text_or_empty(f"`{text}`").alias("text"))
     # each word's uses by slabs of documents: the only pass over the texts
@@ -339,40 +350,41 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
     least = float(n_train + distinct + 1)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of a document's known tokens and log probabilities over the words of this task, by slab."""
-        slots: dict[int, int] = {}
-        known, base, score, lattice = (np.zeros(MOST_SLABS * SLAB_DOCS, t) for t in (np.int64, float, float, float))
+        """Sums of documents' known tokens and log probabilities over the words of this task: a row for each slab, with the places it has."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def rows() -> pa.RecordBatch:
-            used = (base != 0) | (score != 0)  # without training rows every base is 0, but no score
-            last = [int(np.flatnonzero(used[k * SLAB_DOCS : (k + 1) * SLAB_DOCS])[-1]) + 1 for k in slots.values()]
-            cut = lambda x: pa.array([x[k * SLAB_DOCS : k * SLAB_DOCS + n].tobytes() for k, n in zip(slots.values(), last, strict=True)], pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.nulls(len(slots), pa.binary()), cut(known), cut(base), cut(score), cut(lattice)], names=["slab", "notes", "known", "base", "score", "lattice"])
-            for x in (known, base, score, lattice):
-                x[:] = 0
-            slots.clear()
-            return out
+            key, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            sums = [np.add.reduceat(v[order], first) for v in values]
+            slab, place = np.divmod(key[first], SLAB_DOCS)
+            begin = np.flatnonzero(np.diff(slab, prepend=-1))
+            ends = np.append(begin, len(slab))
+
+            def cut(x: np.ndarray) -> pa.Array:
+                """The parts of ``x`` between ``ends``, as bytes."""
+                return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer((ends * x.itemsize).astype(np.int64)), pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+            return pa.RecordBatch.from_arrays([pa.array(slab[begin]), pa.nulls(len(begin), pa.binary()), cut(place.astype("<u2")), *map(cut, sums)], names=["slab", "notes", "place", "known", "base", "score", "lattice"])
 
         for batch in batches:
-            slab, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // USE.itemsize
-            ids, place = np.unique(slab, return_inverse=True)
-            if slots and len(slots) + len(ids) > MOST_SLABS:
-                yield rows()
-            for k in range(0, len(ids), MOST_SLABS):  # one round, but for batches of very many slabs
-                if k:
+            every = np.cumsum(pc.binary_length(batch.column(1)).to_numpy() // USE.itemsize)
+            begin = 0
+            while begin < batch.num_rows:  # parts of a batch of at most HELD uses, or one row
+                end = max(begin + 1, int(np.searchsorted(every, (every[begin - 1] if begin else 0) + HELD, side="right")))
+                slab, c, lp, pure = (batch.column(i).to_numpy()[begin:end] for i in (0, 2, 3, 4))
+                sizes = np.diff(every[begin:end], prepend=every[begin - 1] if begin else 0)
+                u = np.frombuffer(b"".join(batch.column(1).slice(begin, end - begin).to_pylist()), USE)
+                n = u["n"].astype(np.float64)
+                held.append((np.repeat(slab * SLAB_DOCS, sizes) + u["doc"], *(np.repeat(x, sizes) * n for x in (c > 0, np.log10((c + 1) / least), lp, pure))))
+                size, begin = size + len(u), end
+                if size > HELD:
                     yield rows()
-                for x in ids[k : k + MOST_SLABS]:
-                    slots.setdefault(int(x), len(slots))
-                own = (place >= k) & (place < k + MOST_SLABS)
-                first = np.array([slots.get(int(x), 0) * SLAB_DOCS for x in ids], np.int64)[place[own]]
-                c, lp, pure, n_uses = batch.column(2).to_numpy()[own], batch.column(3).to_numpy()[own], batch.column(4).to_numpy()[own], sizes[own]
-                u = np.frombuffer(b"".join(b for b, o in zip(batch.column(1).to_pylist(), own, strict=True) if o), USE)
-                at, n = np.repeat(first, n_uses) + u["doc"], u["n"].astype(np.int64)
-                np.add.at(known, at, np.where(np.repeat(c > 0, n_uses), n, 0))
-                np.add.at(base, at, n * np.repeat(np.log10((c + 1) / least), n_uses))
-                np.add.at(score, at, n * np.repeat(lp, n_uses))
-                np.add.at(lattice, at, n * np.repeat(pure, n_uses))
-        if slots:
+                    held, size = [], 0
+        if size:
             yield rows()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,26 +393,28 @@ def lm_scores(docs: DataFrame, model: str, text: str = "text", doc_id: str = "do
         def rows(notes: list, known: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
             k = len(notes)
             columns = [[x[i] for x in notes] for i in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(known[:k]), pa.array([n_train] * k, pa.int64()), *(pa.array(x[:k]) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(np.rint(known[:k]).astype(np.int64)), pa.array([n_train] * k, pa.int64()), *(pa.array(x[:k]) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
         now, notes, sums = None, None, None
         for batch in batches:
-            for slab, note, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for slab, note, place, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if slab != now:
                     if now is not None:
                         yield rows(notes, *sums)
-                    now, notes, sums = slab, None, [np.zeros(SLAB_DOCS, t) for t in (np.int64, float, float, float)]
+                    now, notes, sums = slab, None, [np.zeros(SLAB_DOCS) for _ in range(4)]
                 if note is not None:
                     notes = read_notes(note)
                 else:
+                    at = np.frombuffer(place, "<u2")
                     for x, p in zip(sums, parts, strict=True):
-                        x[: len(p) // x.itemsize] += np.frombuffer(p, x.dtype)
+                        x[at] += np.frombuffer(p)
         if now is not None:
             yield rows(notes, *sums)
 
     empty = F.lit(None).cast("binary")
-    sums = uses.join(each, "word").select("slab", "uses", "c", "lp", "pure").mapInArrow(summed, "slab long, notes binary, known binary, base binary, score binary, lattice binary")
-    both = sums.unionByName(notes.select("slab", F.col("uses").alias("notes"), empty.alias("known"), empty.alias("base"), empty.alias("score"), empty.alias("lattice")))
+    # a word has one row on the right and one for each slab on the left, so Spark can split the tasks of frequent words
+    sums = uses.join(each, "word").select("slab", "uses", "c", "lp", "pure").mapInArrow(summed, "slab long, notes binary, place binary, known binary, base binary, score binary, lattice binary")
+    both = sums.unionByName(notes.select("slab", F.col("uses").alias("notes"), *[empty.alias(c) for c in ("place", "known", "base", "score", "lattice")]))
     return both.repartition("slab").sortWithinPartitions("slab").mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
 
 
