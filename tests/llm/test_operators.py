@@ -1,6 +1,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -380,15 +381,126 @@ def test_top_k_of_repeated_ids_and_sizes(spark, monkeypatch):
         assert topk.sortable(a) < topk.sortable(b)
 
 
+def test_near_finds_all_partners_of_stated_queries(spark):
+    """Rows with an id divisible by 20 against all rows: every pair of the similarity or more is in one class."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    of = {r.doc_id: r.class_id for r in queries.op5_near_dedup(spark, sf).collect()}
+    scale = near.scaled_idf(spark.read.parquet(f"{sf}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text")))
+    sets = {i: near.shingles(t) for i, t in texts.items()}
+    holders = collections.defaultdict(set)
+    for i, (h, _) in sets.items():
+        for x in h:
+            holders[x].add(i)
+    pairs = {(i, j) for i in texts if i % 20 == 0 for x in sets[i][0] for j in holders[x] if j != i}
+    similar = [(i, j) for i, j in pairs if near.similarity(sets[i], sets[j], scale) >= near.SIMILARITY]
+    assert len(similar) >= 5 and all(of[i] == of[j] for i, j in similar)
+
+
+def test_hot_texts_and_classes(spark, monkeypatch):
+    """Many copies of one text, a large class around one centre, null ids: as without hot keys."""
+    monkeypatch.setattr(near, "FEW", 2)
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(240)]
+    texts = [" ".join(base)] * 40
+    for k in range(60):
+        w = list(base)
+        w[k] = f"x{k}"
+        texts.append(" ".join(w))
+    rows = [(None if i % 9 == 0 else i, t) for i, t in enumerate(texts)] + [(1000 + i, f"alone {i} " * 9) for i in range(20)]
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and sorted({r.class_size for r in got}) == [1, 100] and sum(r.kept for r in got) == 21
+    # shares of a text's pairs have copies of it
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    t = spark.createDataFrame([(i, f"t{i}") for i in range(30)], "node long, text string")
+    out = near.beside(near.beside(pairs, pairs, 29, t, "a", "b"), pairs, 29, t, "b", "a").collect()
+    assert sorted((r.a, r.b, r.a_text, r.b_text) for r in out) == [(0, i, "t0", f"t{i}") for i in range(1, 30)]
+
+
+def test_looked_up(spark, monkeypatch):
+    from sensorloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", "c", None]), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, hot_ long")
+    n = collections.Counter(k for k, _ in rows)
+    found = spark.createDataFrame([(k, n[k], k.upper()) for k in "ab"], "k string, n long, v string")
+    for how in ("inner", "left"):
+        got = common.looked_up(df, found, "k", "n", 100, how).collect()
+        assert sorted((r.hot_, r.v) for r in got if r.v) == sorted((i, k.upper()) for k, i in rows if k in ("a", "b"))
+        assert len(got) == (100 if how == "left" else n["a"] + n["b"])
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    n = len(pii.LABELS)
+    w, t = rng.normal(size=(pii.FEATURES, n)), np.where(pii.ALLOWED, rng.normal(size=(n, n)), -1e9)
+    for size in (1, 2, 3, 4):
+        x = rng.integers(0, pii.FEATURES, (size, 10))
+        e = w[x].sum(axis=1)
+        best = max((p for p in itertools.product(range(n), repeat=size) if pii.STARTS[p[0]]), key=lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False)))
+        assert pii.viterbi([x, x], (w, t))[1].tolist() == list(best)
+
+
+def test_spelt_addresses_of_any_length():
+    assert pii.sensible("email", "a dot " * 200 + "b at example dot org") and pii.sensible("email", "x (at) y [dot] org")
+    assert not pii.sensible("email", "dot" * 5000 + " at dot") and not pii.sensible("email", "a at b") and not pii.sensible("email", "data@ dot")
+
+
+def test_scores_keep_a_table_s_own_columns(spark, docs, labels):
+    model = quality.fit(docs, labels)
+    with pytest.raises(ValueError):
+        quality.scores(docs, model)
+    got = quality.scores(docs, model, column="quality_score")
+    assert got.drop("quality_score").columns == docs.columns
+    by_text = {}
+    for r in got.collect():
+        assert by_text.setdefault(r.text or "", r.quality_score) == r.quality_score  # null as empty, repeated rows alike
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.written(stage(spark, out, SF), "t")
-        assert out.columns == docs.columns and out.count() > 0
-        if name == "exact dedup":
-            assert out.count() == out.select("text").distinct().count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, out, SF)
-    assert packed.filter("start = 0").count() == out.count()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("z") for c in ("Score", "kept", "n_tokens", "membership", "copies_")})
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "exact dedup", "near dedup", "mixing", "packing"]
+
+    def through(name, before):
+        out = corpus_pipeline.written(stages[name](spark, before, SF), "t")
+        assert out.columns == docs.columns and {r.Score for r in out.collect()} == {"z"}
+        return out, {r.doc_id: r.text for r in before.collect()}, collections.Counter(r.doc_id for r in out.collect())
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out, texts, left = through("quality classifier", docs)
+    vectors, network = quality.fit(docs, labels)
+    score = {i: float(network.score(quality.pooled(t or "", vectors)[None].astype(float))[0]) for i, t in texts.items()}
+    assert set(left) == {i for i, x in score.items() if x >= quality.THRESHOLD} and set(left.values()) == {1}
+
+    out, texts, left = through("exact dedup", out)
+    last = {t: i for i, t in sorted(texts.items())}
+    assert set(left) == set(last.values())
+
+    scale = near.scaled_idf(out.select(F.coalesce("text", F.lit("")).alias("text")))
+    out, texts, left = through("near dedup", out)
+    sets, group = {i: near.shingles(t or "") for i, t in texts.items()}, {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and near.similarity(sets[i], sets[j], scale) >= near.SIMILARITY]
+    for _ in range(len(links)):
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+        if all(group[i] == group[j] for i, j in links):
+            break
+    assert links and left == collections.Counter(set(group.values()))
+
+    rates = {r.doc_id: r.copies for r in mixing.mix(out, labels, queries.TARGETS).collect()}
+    out, texts, left = through("mixing", out)
+    assert left == +collections.Counter({i: n for i, n in rates.items()}) and len(set(rates.values())) > 1
+
+    packed = stages["packing"](spark, out, SF).toPandas()
+    t = Tokenizer.from_file(BPE)
+    want = collections.Counter()
+    for r in out.collect():
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want += collections.Counter((r.doc_id, k, min(2048, n - k)) for k in range(0, n, 2048))
+    assert collections.Counter(zip(packed.doc_id, packed.start, packed.length, strict=True)) == want
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
