@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -119,13 +119,16 @@ def logistic(train: DataFrame, keys: list[str], width: int, c: float = 1.0, roun
         sums = group_sums(both, keys, part)
         if keys:
             got = sums.groupBy(*keys).cogroup(params.groupBy(*keys)).applyInPandas(next_of, ", ".join([*(f"{c} {kinds[c]}" for c in keys), fields]))
-            got = written(got, "parameters")
+            seen = Observation()
+            got = written(got.observe(seen, F.max("moved").alias("moved")), "parameters")
+            moved = seen.get["moved"]
         else:  # sums of tasks: as many rows as tasks, as wide as the features
-            got = spark.createDataFrame(next_of(sums.toPandas(), params.toPandas()), fields)
+            made = next_of(sums.toPandas(), params.toPandas())
+            got, moved = spark.createDataFrame(made, fields), made["moved"].max() if len(made) else 0.0
         step = got.select(*keys, F.lit(turn).alias("round"), F.col("seen").alias("loss"))
         history = step if history is None else history.unionByName(step)
         params = got.drop("seen", "moved")
-        if (got.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        if (moved or 0.0) < tolerance:
             break
     return params.select(*keys, "w"), history
 
