@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from zlib import crc32
@@ -113,7 +114,7 @@ LABELLED = [
 ]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 TOKEN = re.compile(r"[A-Za-zÀ-ÿ]+|[0-9]+|[^\sA-Za-zÀ-ÿ0-9]")
-#: Signs around which tokens are read, and how many tokens on either side.
+#: Signs around which tokens are read, and on either side the room, in characters, of how many tokens of a dozen.
 SIGN = re.compile(r"[0-9@]|[\[({]\s?(?:[Aa][Tt]|[Dd][Oo][Tt])\s?[\])}]|\b[Dd][Oo][Tt]\b|\b[Aa][Tt]\b(?=\s[A-Za-z0-9-]+\s?\.\s?[A-Za-z0-9])")
 REACH = 8
 FEATURES = 4_096
@@ -225,7 +226,7 @@ def viterbi(windows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) ->
 
 
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Tokens within REACH of a sign; signs whose reaches meet share a window."""
+    """Tokens within 12 * REACH characters of a sign; signs whose reaches meet share a window."""
     last = None
     for m in SIGN.finditer(text):
         a, b = max(0, m.start() - 12 * REACH), min(len(text), m.end() + 12 * REACH)
@@ -268,11 +269,33 @@ def sensible(kind: str, piece: str) -> bool:
     return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", piece)) and all(int(p) < 256 for p in piece.split("."))
 
 
+class Taken:
+    """The stretches that spans cover, merged and in order; new ones are looked for by halving and come behind the last new one."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends, self.last = [], [], -1
+        for a, b in sorted(s[1:] for s in spans):  # base spans of several kinds may overlap
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        """Whether a stretch touches none; if so, it is taken."""
+        k = bisect_left(self.starts, b) - 1  # the last that begins before b
+        if a < self.last or k >= 0 and self.ends[k] > a:
+            return False
+        self.last = b
+        return True
+
+
 def spans_of(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
     read = [(i, tokens) for i, t in enumerate(texts) for tokens in windows(t)]
     every = [list(b) for b in base]
+    taken = [Taken(b) for b in base]
     for (i, tokens), path in zip(read, viterbi([features(t) for _, t in read], model), strict=True):
         k = 0
         while k < len(tokens):
@@ -282,7 +305,7 @@ def spans_of(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tup
                 while end < len(tokens) and LABELS[path[end]] == "I" + label[1:]:
                     end += 1
                 a, b = tokens[k][1], tokens[end - 1][2]
-                if sensible(label[2:], texts[i][a:b]) and not any(s < b and a < e for _, s, e in every[i]):
+                if sensible(label[2:], texts[i][a:b]) and taken[i].free(a, b):
                     every[i].append((label[2:], a, b))
             k = end
     return [(b, sorted(e, key=lambda s: (KINDS.index(s[0]), s[1]))) for b, e in zip(base, every, strict=True)]
