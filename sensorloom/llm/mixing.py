@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty, written
+from .common import flagged, free_name, text_or_empty, written
 
 #: Most labelled rows that the classifier sees, by the order of a hash of their ids.
 SAMPLE = 6_000
@@ -183,10 +183,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain:
 
 def mixed(docs: DataFrame, rates: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with each row as often as ``rates`` (of mix) says."""
-    who, sha, n = (free_name(docs, x) for x in ("doc_id_", "sha_", "copies_"))
-    keyed = docs.withColumns({who: F.col(f"`{doc_id}`").cast("long"), sha: F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)})
-    # equal rows have equal rates; only rows whose number changes are joined
-    changed = written(rates.filter("copies != 1").groupBy(F.col("doc_id").alias(who), F.col("text_sha256").alias(sha)).agg(F.max("copies").alias(n)), "changed")
-    same = F.col(f"a.{who}").eqNullSafe(F.col(f"b.{who}")) & (F.col(f"a.{sha}") == F.col(f"b.{sha}"))
+    key, n, flag = (free_name(docs, x) for x in ("key_", "copies_", "flag_"))
+    name = lambda who, sha: F.concat_ws("/", sha, F.coalesce(who.cast("string"), F.lit("")))
+    # equal rows have equal rates; only rows whose number may change are joined, the others stay where they are
+    changed = written(rates.filter("copies != 1").groupBy(name(F.col("doc_id"), F.col("text_sha256")).alias(key)).agg(F.max("copies").alias(n)), "changed")
+    sha = F.sha2(F.encode(text_or_empty(f"`{text}`"), "UTF-8"), 256)
+    keyed = flagged(docs.withColumn(key, name(F.col(f"`{doc_id}`").cast("long"), sha)), F.col(key), changed.select(key), flag)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     times = F.coalesce(F.col(n), F.lit(1)).cast("int")
-    return keyed.alias("a").join(changed.alias("b"), same, "left").filter(times > 0).withColumn(n, F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    maybe = keyed.filter(flag).drop(flag).join(changed, key, "left").filter(times > 0).withColumn(n, F.explode(F.array_repeat(F.lit(1), times)))
+    return keyed.filter(~F.col(flag)).select(*columns).unionByName(maybe.select(*columns))
