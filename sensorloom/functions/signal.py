@@ -82,8 +82,9 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     at = (first[top] + last[top]) // 2
     keep = np.ones(len(at), bool)
     for k in np.argsort(x[at], kind="stable")[::-1]:
-        if keep[k]:
-            keep[(np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k)] = False
+        if keep[k]:  # neighbours only, so a whole recording takes no longer by the peak than a window
+            keep[np.searchsorted(at, at[k] - distance, "right") : k] = False
+            keep[k + 1 : np.searchsorted(at, at[k] + distance)] = False
     return at[keep]
 
 

@@ -33,15 +33,18 @@ def tachogram(samples: DataFrame, beats: DataFrame) -> DataFrame:
     return found.filter("beat_rr is null").withColumn("rr", rr).drop("beat_rr", "us", "beat_before", "beat_after")
 
 
-def beats_in(windows: DataFrame, beats: DataFrame, span: float) -> DataFrame:
-    """(pid, s, bt, rr): the beats (pid, bt, rr) in [t_start, t_start + span) of each window (pid, s, t_start); windows without beats have one row of nulls."""
+def beats_in(windows: DataFrame, beats: DataFrame, span: float, keys: tuple[str, ...] = ("pid", "sid")) -> DataFrame:
+    """(keys, s, bt, rr): the beats (keys, bt, rr) in [t_start, t_start + span) of each window (keys, s, t_start); windows without beats have one row of nulls.
+
+    ``keys`` name a recording: beats of another one, at the same time, do not count.
+    """
     # beats meet the two buckets that a window of one bucket's length can touch
-    b = beats.select("pid", "bt", "rr", F.floor(F.col("bt") / span).alias("k"))
+    b = beats.select(*keys, "bt", "rr", F.floor(F.col("bt") / span).alias("k"))
     k = F.floor(F.col("t_start") / span)
-    w = windows.select("pid", "s", "t_start", F.explode(F.array(k, k + 1)).alias("k"))
+    w = windows.select(*keys, "s", "t_start", F.explode(F.array(k, k + 1)).alias("k"))
     hit = (F.col("bt") >= F.col("t_start")) & (F.col("bt") < F.col("t_start") + span)
     inside = lambda c: F.when(hit, F.col(c)).alias(c)
-    return w.join(b, ["pid", "k"], "left").select("pid", "s", inside("bt"), inside("rr"))
+    return w.join(b, [*keys, "k"], "left").select(*keys, "s", inside("bt"), inside("rr"))
 
 
 def variability(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,26 +15,27 @@ BUCKET = 86_400.0
 def near_tags(samples: DataFrame, tags: DataFrame, radius: float, bucket: float = BUCKET, keys: tuple[str, ...] = ("pid",), kinds: tuple[str, ...] = ()) -> DataFrame:
     """``samples`` (keys, t, ...) with before and after: seconds to the previous and next tag (keys, tag_t) with the same keys, null beyond ``radius``.
 
-    With ``kinds``, tags have a column kind, and before_k and after_k are those to tags of kind k, all in one pass.
+    Tags may repeat.  With ``kinds``, tags have a column kind, and before_k and after_k are those to tags of kind k, all in one pass.
     Samples are sorted once: each tag of a bucket knows the next one there, a mark before all of them knows the first, and
     the frame looks back only, so the work does not depend on how many samples a bucket holds.
     """
     at = lambda c: F.floor(c / bucket)
     kind = F.col("kind") if kinds else F.lit("")
-    spread = tags.select(*keys, F.col("tag_t").alias("t"), F.explode(F.sequence(at(F.col("tag_t") - radius), at(F.col("tag_t") + radius))).alias("bucket"), kind.alias("tag_kind"))
-    own = Window.partitionBy(*keys, "bucket", "tag_kind").orderBy("t")
-    known = spread.withColumn("next_tag", F.lead("t").over(own))
-    marks = spread.groupBy(*keys, "bucket", "tag_kind").agg(F.min("t").alias("next_tag")).withColumn("t", F.lit(float("-inf")))
-    both = samples.withColumns({"bucket": at(F.col("t")), "tag_kind": F.lit(None).cast("string")}).unionByName(known, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
-    back = Window.partitionBy(*keys, "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # tags of one time and kind are one: else the first would take the second for its next
+    once = tags.select(*keys, F.col("tag_t").alias("t"), kind.alias("__kind")).distinct()
+    spread = once.withColumn("__bucket", F.explode(F.sequence(at(F.col("t") - radius), at(F.col("t") + radius))))
+    known = spread.withColumn("__next", F.lead("t").over(Window.partitionBy(*keys, "__bucket", "__kind").orderBy("t")))
+    marks = spread.groupBy(*keys, "__bucket", "__kind").agg(F.min("t").alias("__next")).withColumn("t", F.lit(float("-inf")))
+    both = samples.withColumns({"__bucket": at(F.col("t")), "__kind": F.lit(None).cast("string")}).unionByName(known, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy(*keys, "__bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     within = lambda c: F.when(c <= radius, c)
     last, found = {}, {}
     for n, k in enumerate(kinds or ("",)):
-        last[f"last_{n}"] = F.max(F.when(F.col("tag_kind") == k, F.struct("t", "next_tag"))).over(back)
-        tag, end = F.col(f"last_{n}"), f"_{k}" if k else ""
+        last[f"__last_{n}"] = F.max(F.when(F.col("__kind") == k, F.struct("t", "__next"))).over(back)
+        tag, end = F.col(f"__last_{n}"), f"_{k}" if k else ""
         found[f"before{end}"] = within(F.col("t") - tag["t"])
-        found[f"after{end}"] = within(F.when(tag["t"] == F.col("t"), 0.0).otherwise(tag["next_tag"] - F.col("t")))
-    return both.withColumns(last).filter(F.col("tag_kind").isNull()).withColumns(found).drop("bucket", "tag_kind", "next_tag", *last)
+        found[f"after{end}"] = within(F.when(tag["t"] == F.col("t"), 0.0).otherwise(tag["__next"] - F.col("t")))
+    return both.withColumns(last).filter(F.col("__kind").isNull()).withColumns(found).drop("__bucket", "__kind", "__next", *last)
 
 
 def two_sided(near: float, buffer: float) -> Column:

@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..shared import written
 from . import metrics
-from .splits import first_rows
+from .splits import first_rows, placed_by_time
 
 #: Groups whose sums a task holds before it hands them on.
 HELD = 4_096
@@ -137,9 +137,9 @@ def probability(x: Column | str, w: Column | str) -> Column:
     return F.lit(1.0) / (1 + F.exp(-dot(x, w)))
 
 
-def balance(keys: list[str], y: str = "y") -> Column:
-    """Balanced class weights of rows: rows of the group over twice the rows of its class."""
-    return F.count("*").over(Window.partitionBy(*keys)) / (2 * F.count("*").over(Window.partitionBy(*keys, y)))
+def balanced(rows: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
+    """``rows`` with weight: rows of the group over twice the rows of their class; counted, so no group is gathered."""
+    return rows.join(metrics.class_weights(rows, keys, y).drop("n"), [*keys, y])
 
 
 def logistic_cv(rows: DataFrame, features: list[str], c: float = 0.5, folds: int = 5) -> DataFrame:
@@ -153,7 +153,7 @@ def logistic_cv(rows: DataFrame, features: list[str], c: float = 0.5, folds: int
     n = [F.count_if(part & (F.col("y") == v)).alias(f"n{i}{v}") for i, part in enumerate((test, ~test)) for v in (0, 1)]
     good = every.groupBy("pid", "fold").agg(*n).filter("least(n00, n01, n10, n11) > 0").select("pid", "fold")
     z = written(standardised(every.join(good, ["pid", "fold"]), ["pid", "fold"], features, ~test).select("pid", "fold", "own", "y", "x"), "standardised")
-    train = z.filter(~test).withColumn("weight", balance(["pid", "fold"]))
+    train = balanced(z.filter(~test), ["pid", "fold"])
     w, _ = logistic(train, ["pid", "fold"], len(features) + 1, c)
     return z.filter(test).join(w, ["pid", "fold"]).select("pid", F.col("fold").cast("long").alias("fold"), "y", probability("x", "w").alias("score"))
 
@@ -195,10 +195,7 @@ def forecasts(x: Column | str, w: Column | str, outputs: Column) -> Column:
 def pretext_rows(windows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, train, x, y): windows and the samples behind them, less the mean and over the deviation of all samples of the group's
     training windows; the last tenth of each group in time is not for training."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy("t_start", "sid", "s"))
-    n = F.count("*").over(w)
-    rows = windows.select(*keys, "x", "yf", (place <= n - F.floor(n / 10)).alias("train"))
+    rows = placed_by_time(windows, keys, "t_start", "sid", "s").select(*keys, "x", "yf", (F.col("place") <= F.col("places") - F.floor(F.col("places") / 10)).alias("train"))
     total, squares = F.aggregate("x", F.lit(0.0), lambda s, v: s + v), F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     sums = rows.filter("train").groupBy(*keys).agg(F.sum(F.size("x")).alias("m"), F.sum(total).alias("t"), F.sum(squares).alias("q"))
     mean, sd = F.col("t") / F.col("m"), F.sqrt(F.greatest(F.col("q") / F.col("m") - F.pow(F.col("t") / F.col("m"), 2), F.lit(0.0)))

@@ -42,6 +42,21 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return dealt.withColumn(name, (first + place).cast("long")).drop("range")
 
 
+def placed_by_time(rows: DataFrame, keys: list[str], t: str, *ties: str, bucket: float = 86_400.0) -> DataFrame:
+    """``rows`` with place, from 1 by time in their group, and places, the group's rows.
+
+    Rows are numbered inside buckets of time, behind the counts of the buckets before, so only the buckets of a group
+    are put in order.  Rows without a time come first, in a bucket of their own.
+    """
+    dealt = rows.withColumn("__k", F.coalesce(F.floor(F.col(t) / bucket), F.lit(-(2**62))))
+    w = Window.partitionBy(*keys)
+    counts = dealt.groupBy(*keys, "__k").agg(F.count("*").alias("__m"))
+    before = F.coalesce(F.sum("__m").over(w.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.select(*keys, "__k", before.alias("__before"), F.sum("__m").over(w).alias("places"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__k").orderBy(F.col(t).asc_nulls_first(), *ties))
+    return dealt.join(sums, [*keys, "__k"]).withColumn("place", F.col("__before") + inside).drop("__k", "__before")
+
+
 def overlap_groups(sessions: DataFrame) -> DataFrame:
     """``sessions`` (pid, sid, t0, t1, ...) with gid: recordings of a participant that overlap, directly or through others; touching is none."""
     w = Window.partitionBy("pid").orderBy("t0", "t1", "sid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def with_sessions(samples: DataFrame, gap: float) -> DataFrame:
-    """``samples`` (pid, t, ...) with sid and i: a session ends where no sample follows for more than ``gap`` seconds; i counts from 0 in it."""
+    """``samples`` (pid, t, event_id, ...; event_id orders samples of one time) with sid and i: a session ends where no sample follows for more than ``gap`` seconds; i counts from 0 in it."""
     w = Window.partitionBy("pid").orderBy("t", "event_id")
     start = F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)
     numbered = samples.withColumn("start", start).withColumn("sid", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("start")
@@ -68,6 +68,38 @@ def block_windows(samples: DataFrame, width: int, horizon: int, step: int, most:
     return fits.filter(F.col("most").isNull() | (F.col("k") < F.col("most"))).select("subject", "block", "start")
 
 
+def gathered(samples: DataFrame, starts: DataFrame, width: int, signals: tuple[str, ...] = ("x",), keys: tuple[str, ...] = ("subject",), chunk: int | None = None) -> DataFrame:
+    """``starts`` (keys, start, ...) with a column for each of ``signals``: the array of the ``width`` samples (keys, i, signals) from start on.
+
+    Windows may overlap as often as they like and repeat: samples are shuffled once, in chunks of arrays (``width`` long
+    unless ``chunk`` is longer), starts meet the chunk that they are in, and a window is cut out of it and the next one
+    only then.  i counts up in a recording; starts before its first, behind its last whole window, or across missing
+    samples have none and are left out.
+    """
+    at = lambda c: F.expr(f"{c} div {max(width, chunk or 0)}")
+    rows = samples.groupBy(*keys, at("i").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("i", *signals))).alias("__rows"))
+    w = Window.partitionBy(*keys).orderBy("__k")
+    more = F.when(F.lead("__k").over(w) == F.col("__k") + 1, F.lead("__rows").over(w))
+    chunks = rows.withColumn("__rows", F.concat("__rows", F.slice(F.coalesce(more, F.slice("__rows", 1, 0)), F.lit(1), F.lit(width - 1))))
+    places = F.col("__rows.i")
+    unbroken = F.element_at(places, -1) - places[0] + 1 == F.size(places)
+    first = F.when(unbroken, F.col("start") - places[0]).otherwise(F.array_position(places, F.col("start")) - 1)
+    met = starts.filter("start >= 0").withColumn("__k", at("start")).join(chunks, [*keys, "__k"]).withColumn("__at", first.cast("int")).filter(F.col("__at") >= 0)
+    cut = met.withColumn("__rows", F.slice("__rows", F.col("__at") + 1, F.lit(width)))
+    whole = cut.filter((F.size("__rows") == width) & (F.col("__rows")[0]["i"] == F.col("start")) & (F.element_at("__rows", -1)["i"] == F.col("start") + width - 1))
+    return whole.withColumns({c: F.col(f"__rows.{c}") for c in signals}).drop("__rows", "__k", "__at")
+
+
+def between_marks(marks: DataFrame, ends: DataFrame, trim: int, least: int, keys: tuple[str, ...] = ("pid", "sid")) -> DataFrame:
+    """(keys, first, last): stretches of samples between neighbouring places: a recording's first, its marks (keys, i), its end (ends: keys, n).
+
+    Each loses ``trim`` samples at either end; ``least`` samples or more are left.  last is exclusive.
+    """
+    every = ends.select(*keys, F.explode(F.array(F.lit(0).cast("long"), F.col("n"))).alias("b")).unionByName(marks.select(*keys, F.col("i").alias("b")))
+    cut = every.withColumn("next", F.lead("b").over(Window.partitionBy(*keys).orderBy("b")))
+    return cut.select(*keys, (F.col("b") + trim).alias("first"), (F.col("next") - trim).alias("last")).filter(F.col("last") - F.col("first") >= least)
+
+
 def covered(samples: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     """The rows of ``samples`` (subject, i, ...) that lie in any window (subject, start) of ``width`` samples, each once."""
     marks = starts.select("subject", F.col("start").alias("i"), F.lit(True).alias("is_start")).distinct()

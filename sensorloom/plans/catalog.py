@@ -82,7 +82,7 @@ def cut(spark: SparkSession, d: str, least_mean: float | None = None) -> DataFra
 
 
 def points(w: DataFrame) -> DataFrame:
-    return w.select("pid", "s", "y", F.posexplode("x").alias("i", "x"))
+    return w.select("pid", "sid", "s", "y", F.posexplode("x").alias("i", "x"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -297,9 +297,14 @@ def q22(spark, d):
 SPAN = 86_400.0
 
 
+def one_recording(rows: DataFrame) -> DataFrame:
+    """``rows`` of a participant's sessions as rows of the one recording that ``whole`` makes of them."""
+    return rows.withColumn("sid", F.lit(0).cast("long"))
+
+
 @query("q23_beats_in_window", BEATS + f", k AS (SELECT pid, s, t_start FROM w) SELECT k.pid, k.s, count(ok.bt) AS n_beats FROM k LEFT JOIN ok ON ok.pid = k.pid AND ok.bt >= k.t_start AND ok.bt < k.t_start + {SPAN} GROUP BY k.pid, k.s")
 def q23(spark, d):
-    return heart.beats_in(cut(spark, d), beats(spark, d), SPAN).groupBy("pid", "s").agg(F.count("bt").alias("n_beats"))
+    return heart.beats_in(cut(spark, d), one_recording(beats(spark, d)), SPAN).groupBy("pid", "s").agg(F.count("bt").alias("n_beats"))
 
 
 @query("q24_beat_count_rank_diff", BEATS + ", e AS (SELECT pid, s, t_start AS a, lead(t_start, 2) OVER (PARTITION BY pid ORDER BY s) AS z FROM w) SELECT e.pid, e.s, count(ok.bt) AS n_beats FROM e LEFT JOIN ok ON ok.pid = e.pid AND ok.bt >= e.a AND ok.bt < e.z WHERE e.z IS NOT NULL GROUP BY e.pid, e.s")
@@ -477,15 +482,28 @@ def q44(spark, d):
     return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
-# names that these two had beside forms over two labels only
-for old, new in (("q43b_knn_topk_all", "q43_knn_topk"), ("q44b_smote_all", "q44_smote")):
-    QUERIES[old], ORACLE[old] = QUERIES[new], ORACLE[new]
+EVERY = KNN.replace("a.label = b.label AND a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id")
+
+
+@query("q43b_knn_topk_all", EVERY + "SELECT vec_id, rank, other, round(dist, 6) AS dist FROM nn WHERE rank <= 5", shared=False)
+def q43b(spark, d):
+    # among all vectors, whatever their labels
+    return rounded(balance.neighbours(vectors(spark, d), 5).select("vec_id", "rank", "other", "dist"))
+
+
+@query("q44b_smote_all", ORACLE["q44_smote"].replace(KNN, EVERY), shared=False)
+def q44b(spark, d):
+    s = balance.smote(vectors(spark, d), 5, SEED)
+    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
 @query("q45_norm_artefact", ", f AS (SELECT pid, s, y, stddev_pop(x) AS sd, max(x) - min(x) AS rg FROM wx WHERE y >= 0 GROUP BY pid, s, y) SELECT y, count(*) AS n, round(median(sd), 6) AS median_std, round(median(rg), 6) AS median_range, round(avg(CAST(rg < 100 AS INTEGER)), 6) AS share_flat FROM f GROUP BY y")
 def q45(spark, d):
     f = points(cut(spark, d)).filter("y >= 0").groupBy("pid", "s", "y").agg(F.stddev_pop("x").alias("sd"), (F.max("x") - F.min("x")).alias("rg"))
-    return rounded(f.groupBy("y").agg(F.count("*").alias("n"), F.median("sd").alias("median_std"), F.median("rg").alias("median_range"), F.avg((F.col("rg") < 100).cast("int")).alias("share_flat")))
+    out = f.groupBy("y").agg(F.count("*").alias("n"), F.avg((F.col("rg") < 100).cast("int")).alias("share_flat"))
+    for c, name in (("sd", "median_std"), ("rg", "median_range")):
+        out = out.join(metrics.quantiles(f, ["y"], c, {name: 0.5}), "y")
+    return rounded(out.select("y", "n", "median_std", "median_range", "share_flat"))
 
 
 @query("q45b_range_auc", f", f AS (SELECT pid, s, y, round(max(x) - min(x), 6) AS rg FROM wx WHERE y >= 0 GROUP BY pid, s, y), k AS (SELECT y, rank() OVER (ORDER BY rg) + (count(*) OVER (PARTITION BY rg) - 1) / 2.0 AS r FROM f) SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, round({AUC}, 9) AS auc FROM k")
@@ -563,4 +581,4 @@ def q52(spark, d):
     return rounded(models.label_curve(split.select("key", "y", "split", *FEATURES), FEATURES, [10, 20, 50, 100], 3))
 
 
-from . import protocols, reports  # noqa: E402, F401  (they register their queries)
+from . import overlapping, protocols, reports, trained  # noqa: E402, F401  (they register their queries)

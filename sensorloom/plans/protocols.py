@@ -9,7 +9,8 @@ from ..operators import balance, kernels, labels, metrics, models, splits, windo
 from ..operators import beats as heart
 from ..shared import written
 from ..sources.tables import table
-from .catalog import BEATS, DEV, FEATURES, SEED, SPAN, beats, cut, device_groups, devices, feature_rows, labelled, long_sessions, points, query, recordings, rounded, whole
+from .catalog import BEATS, DEV, FEATURES, SEED, SPAN, beats, cut, device_groups, devices, feature_rows, labelled, long_sessions, one_recording, points, query, recordings, rounded, whole  # before what hangs on it
+from .blocks import BLOCKS, blocks  # noqa: I001
 
 #: Windows by the labels that look ahead only, found without panes: those that ``wb`` has samples for, with a horizon of one.
 WB = """, rb AS (SELECT pid, t, x, yb, row_number() OVER (PARTITION BY pid ORDER BY t, event_id) - 1 AS i FROM y), st AS (SELECT pid, i AS s FROM rb WHERE i % 5 = 0),
@@ -64,7 +65,7 @@ hv AS (SELECT pid, s, y, count(*) AS n_beats, avg(rr) AS mean_rr, stddev_pop(rr)
 def heart_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Windows on the body, and the features of the labelled ones that have two beats or more."""
     w = windows.windows(whole(spark, d, labels.before_only), 5).filter("mean >= 40").select("pid", "s", "y", "t_start")
-    kept = heart.beats_in(w.filter("y >= 0"), beats(spark, d), SPAN)
+    kept = heart.beats_in(one_recording(w.filter("y >= 0")), one_recording(beats(spark, d)), SPAN)
     return w, heart.variability(kept, ["pid", "s"]).filter("n_beats >= 2").join(w.select("pid", "s", "y"), ["pid", "s"])
 
 
@@ -93,15 +94,15 @@ def q57(spark, d):
 
 
 def features_26(w: DataFrame) -> DataFrame:
-    """(pid, s, 26 features) of windows (pid, sid, s, x): sixteen by SQL, ten of the phasic and tonic parts by the filter kernel."""
-    x, i, v = F.col("x"), F.col("i") / F.lit(4.0), Window.partitionBy("pid", "s").orderBy("i")
+    """(pid, sid, s, 26 features) of windows (pid, sid, s, x): sixteen by SQL, ten of the phasic and tonic parts by the filter kernel."""
+    x, i, v = F.col("x"), F.col("i") / F.lit(4.0), Window.partitionBy("pid", "sid", "s").orderBy("i")
     d1 = points(w.withColumn("y", F.lit(0))).withColumns({"d1": x - F.lag("x").over(v), "d2": x - 2 * F.lag("x").over(v) + F.lag("x", 2).over(v)})
-    plain = d1.groupBy("pid", "s").agg(
+    plain = d1.groupBy("pid", "sid", "s").agg(
         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), F.median(x).alias("median"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"),
         F.coalesce(F.skewness(x), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(x), F.lit(0.0)).alias("kurt"), F.regr_slope(x, i).alias("slope"),
         F.avg("d1").alias("d1_mean"), F.stddev_pop("d1").alias("d1_std"), F.avg(F.abs("d1")).alias("d1_abs"), F.avg("d2").alias("d2_mean"), F.stddev_pop("d2").alias("d2_std"),
     )
-    return plain.join(kernels.phasic(w).drop("sid"), ["pid", "s"])
+    return plain.join(kernels.phasic(w), ["pid", "sid", "s"])
 
 
 @query("q58_window_features_26")
@@ -147,27 +148,6 @@ def q61(spark, d):
     return z.filter("mu is not null").groupBy("pid", "s").agg(F.round(F.sum("z"), 4).alias("total"))
 
 
-BLOCKS = """, bl AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS x, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 END AS block FROM events),
-bs AS (SELECT subject, block, min(i) AS a, max(i) AS z FROM bl WHERE block IS NOT NULL GROUP BY 1, 2),
-b0 AS (SELECT subject, block, unnest(range(a, z - 8 + 1, 3)) AS start, a FROM bs),
-b1 AS (SELECT subject, block, start, row_number() OVER (PARTITION BY subject ORDER BY start, block) - 1 AS place, row_number() OVER (PARTITION BY subject, block ORDER BY start DESC) AS back, count(*) OVER (PARTITION BY subject, block) AS n FROM b0 WHERE block <> 1 OR start < a + 24),
-b2 AS (SELECT subject, block, start, place, CASE WHEN back <= greatest(round_even(n * 0.115, 0), 1) THEN 'test' ELSE 'train' END AS split FROM b1)
-"""
-
-
-def blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Samples (subject, i, x, block), and the windows (subject, block, start, place, split) of their blocks: at most eight of block 1, merged by start."""
-    e = whole(spark, d, None).select(F.col("pid").alias("subject"), "i", "x", "event_id")
-    kind = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2).alias("block"))
-    rows = e.join(kind, "event_id").drop("event_id")
-    starts = windows.block_windows(rows.filter("block is not null"), 7, 1, 3, {1: 8})
-    n = F.count("*").over(Window.partitionBy("subject", "block"))
-    place = (F.row_number().over(Window.partitionBy("subject").orderBy("start", "block")) - 1).cast("long")
-    tail = starts.withColumns({"place": place, "k": F.greatest(F.bround(n * 0.115), F.lit(1))})
-    w = Window.partitionBy("subject", "block").orderBy(F.desc("start"))
-    return rows, tail.withColumn("split", F.when(F.row_number().over(w) <= F.col("k"), "test").otherwise("train")).drop("k")
-
-
 @query("q62_train_span_stats", BLOCKS + "SELECT subject, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT DISTINCT subject, i, x FROM bl JOIN b2 USING (subject) WHERE split = 'train' AND i BETWEEN start AND start + 6) GROUP BY subject")
 def q62(spark, d):
     rows, starts = blocks(spark, d)
@@ -248,7 +228,7 @@ def q81(spark, d):
 def q82(spark, d):
     # late fusion: heart features beside those of the signal, against either alone, on the same windows
     both = feature_rows(spark, d).drop("y").join(heart_windows_any(spark, d), ["pid", "s"]).na.drop()
-    folded = splits.window_folds(both.withColumns({"user": F.col("pid"), "pid": F.col("pid") % 10}), 5, "s", "user")
+    folded = written(splits.window_folds(both.withColumns({"user": F.col("pid"), "pid": F.col("pid") % 10}), 5, "s", "user"), "folded")
     out = None
     for name, columns in (("signal", FEATURES), ("heart", HEART), ("signal+heart", [*FEATURES, *HEART])):
         a = metrics.auc(models.logistic_cv(folded, columns), ["pid"]).withColumn("features", F.lit(name))
@@ -262,13 +242,13 @@ HEART = ["mean_rr", "sdnn", "mean_hr"]
 def heart_windows_any(spark: SparkSession, d: str) -> DataFrame:
     """Heart features of windows whose y says whether any sample has stress ahead."""
     w = windows.windows(whole(spark, d, labels.before_only), 5).select("pid", "s", F.col("any").cast("int").alias("y"), "t_start")
-    f = heart.variability(heart.beats_in(w, beats(spark, d), SPAN), ["pid", "s"]).filter("n_beats >= 2")
+    f = heart.variability(heart.beats_in(one_recording(w), one_recording(beats(spark, d)), SPAN), ["pid", "s"]).filter("n_beats >= 2")
     return f.select("pid", "s", *HEART).join(w.select("pid", "s", "y"), ["pid", "s"])
 
 
 @query("q83_frozen_head_vs_supervised")
 def q83(spark, d):
-    # the pretext model's forecast and its error as frozen features under a head, against a head on the samples themselves
+    # the pretext model's forecast as a frozen feature under a head, against a head on the samples themselves
     w = cut(spark, d).withColumn("key", F.concat_ws("/", "pid", "s")).withColumn("y", F.col("any").cast("int"))
     rows = written(splits.stratified_split(w.select("key", "x", "yf", "y", "sid", "s", "t_start", "pid"), ["y"], "key", 0.3, SEED), "windows")
     scaled = written(models.pretext_rows(rows.filter("split = 'train'").withColumn("pid", F.lit(0).cast("long")), ["pid"]), "pretext")

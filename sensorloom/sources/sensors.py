@@ -104,7 +104,7 @@ def write_report(report: DataFrame, path: str, index: list[str] | None = None, m
     """A small report as one CSV file, index columns first; running again replaces it, or adds to it with ``mode`` append."""
     rows = flat(report)
     first = index or []
-    rows.select(*first, *[c for c in rows.columns if c not in first]).coalesce(1).write.mode(mode).csv(path, header=True)
+    rows.select(*first, *[c for c in rows.columns if c not in first]).repartition(1).write.mode(mode).csv(path, header=True)
 
 
 def saved(spark: SparkSession, path: str, make) -> DataFrame:
