@@ -20,7 +20,7 @@ from .common import flagged, kept_rows, looked_up, scratch, text_or_empty, writt
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
     # a store that has committed gives its files back at once, however many partitions a task slot goes through
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }

@@ -25,7 +25,7 @@ from .common import flagged, free_name, text_or_empty, written
 SAMPLE = 6_000
 BUCKETS = 16_384
 STEPS, TOLERANCE = 40, 1e-6
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 class Buckets(dict):

@@ -29,7 +29,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 CELL_BITS = 18
-MEMORY = 500_000
+MEMORY = 250_000
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
 

@@ -30,7 +30,7 @@ from .common import text_or_empty, written
 CAPACITY = 2048
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
-MEMORY = 1_500_000
+MEMORY = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

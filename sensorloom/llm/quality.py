@@ -28,7 +28,7 @@ SAMPLE = 6_000
 THRESHOLD = 0.7
 BUCKETS, DIMENSIONS, NONZERO = 8_192, 64, 4
 HIDDEN, EPOCHS, RATE, BATCH = 32, 60, 0.003, 128
-MEMORY = 600_000
+MEMORY = 300_000
 RUNS = [(re.compile(p), x) for p, x in (("[A-ZÀ-ÖØ-Þ]+", "X"), ("[a-zß-öø-ÿ]+", "x"), ("[0-9]+", "9"), (r"\s+", " "))]
 
 
