@@ -14,7 +14,9 @@ from ..sources.tables import samples
 from .blocks import BLOCKS, blocks
 from .catalog import BUFFER, NEAR, ORACLE, SPAN, query, recordings, rounded, session_table, tags_of, whole
 
-TWO = f""", e AS (SELECT event_id, pid, event_id % 2 AS sid, t, x, yb, row_number() OVER (PARTITION BY pid, event_id % 2 ORDER BY t, event_id) - 1 AS i FROM y),
+#: Presses reach an hour here, so that many windows have one label.
+HOUR = 3_600.0
+TWO = f""", e AS (SELECT event_id, pid, event_id % 2 AS sid, t, x, CASE WHEN after <= {HOUR} THEN 1 WHEN before <= {HOUR} THEN -1 ELSE 0 END AS yb, row_number() OVER (PARTITION BY pid, event_id % 2 ORDER BY t, event_id) - 1 AS i FROM y),
 eb AS (SELECT pid, sid, t AS bt, (t - lag(t) OVER (PARTITION BY pid, sid ORDER BY i)) / 40000 AS rr FROM e), eok AS (SELECT * FROM eb WHERE rr > 0.3 AND rr < 2.0),
 ez AS (SELECT *, (x - avg(x) OVER v) / (stddev_pop(x) OVER v + 1e-8) AS z FROM e WINDOW v AS (PARTITION BY pid, sid)),
 es AS (SELECT pid, sid, i AS s FROM e WHERE i % 5 = 0),
@@ -28,7 +30,7 @@ def two_devices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Labelled samples (pid, sid, i, t, x, y) of two recordings at once, by the tags of both, and their beats (pid, sid, bt, rr)."""
     s = samples(spark, d)
     w = Window.partitionBy("pid", "sid").orderBy("t", "event_id")
-    rows = labels.labelled(s, tags_of(s), NEAR, BUFFER, labels.before_only).withColumn("sid", F.col("event_id") % 2).withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    rows = labels.labelled(s, tags_of(s), HOUR, HOUR, labels.before_only).withColumn("sid", F.col("event_id") % 2).withColumn("i", (F.row_number().over(w) - 1).cast("long"))
     of = Window.partitionBy("pid", "sid").orderBy("i")
     return rows, rows.select("pid", "sid", F.col("t").alias("bt"), ((F.col("t") - F.lag("t").over(of)) / 40000).alias("rr")).filter("rr > 0.3 and rr < 2.0")
 

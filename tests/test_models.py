@@ -132,7 +132,7 @@ def test_26_features(spark):
     rng = np.random.default_rng(8)
     xs = np.cumsum(rng.normal(size=(5, 40)), axis=1)
     got = protocols.features_26(spark.createDataFrame([(1, 0, i, x.tolist()) for i, x in enumerate(xs)], "pid long, sid long, s long, x array<double>")).toPandas().sort_values("s")
-    assert len(got.columns) == 28
+    assert len(got.columns) == 29
     for x, (_, r) in zip(xs, got.iterrows(), strict=True):
         c, d1, d2 = x - x.mean(), np.diff(x), np.diff(x, 2)
         want = {"mean": x.mean(), "std": x.std(), "min": x.min(), "max": x.max(), "range": np.ptp(x), "median": np.median(x), "p25": np.percentile(x, 25), "p75": np.percentile(x, 75), "skew": (c**3).mean() / (c**2).mean() ** 1.5, "kurt": (c**4).mean() / (c**2).mean() ** 2 - 3}
