@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import scratch, shared_dir, written  # noqa: F401  (the operators take them from here)
 
 
+#: What operators remember of words in a worker, which Spark uses again for other tasks: how to forget it, by operator.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(name: str) -> None:
+    """Called where an operator's task begins: a worker remembers the words of one operator at a time."""
+    for other, forget in MEMORIES.items():
+        if other != name:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

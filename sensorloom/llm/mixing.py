@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, free_name, text_or_empty, written
+from .common import MEMORIES, flagged, forget_others, free_name, text_or_empty, written
 
 #: Most labelled rows that the classifier sees, by the order of a hash of their ids.
 SAMPLE = 6_000
@@ -37,6 +37,7 @@ class Buckets(dict):
 
 
 PLACES = Buckets()
+MEMORIES["mixing"] = PLACES.clear
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,6 +98,7 @@ def memberships(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_tokens long, posterior array<double>")
     def member(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget_others("mixing")
         names, log_p, sharp, log_share = shared.value
         for part in texts:
             tokens, posterior = [], []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, flagged, looked_up, text_or_empty, written
+from .common import HOT, MEMORIES, flagged, forget_others, looked_up, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -45,6 +45,7 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+MEMORIES["near"] = HASHES.clear
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -118,6 +119,7 @@ def scaled_idf(docs: DataFrame) -> np.ndarray:
     cells = 1 << CELL_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("near")
         total, rows = np.zeros(cells, np.int64), 0
         for batch in batches:
             rows += batch.num_rows

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ODD_SPACE
-from .common import text_or_empty, written
+from .common import MEMORIES, forget_others, text_or_empty, written
 
 CAPACITY = 2048
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
-MEMORY = 400_000
+MEMORY = 1_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -127,10 +127,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+MEMORIES["packing"] = encoder.cache_clear
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and id 0, cut only where longer than ``capacity``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("packing")
         encode = encoder(vocabulary).encode
         step = 4 * capacity
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_name, text_or_empty, written
+from .common import MEMORIES, crc_mod, forget_others, free_name, text_or_empty, written
 
 MODULUS, HELD_OUT = 4, 2
 #: Most labelled rows that the fit takes, by the order of a hash of their ids.
@@ -58,6 +58,7 @@ class Buckets(dict):
 
 
 PLACES = Buckets()
+MEMORIES["quality"] = PLACES.clear
 
 
 @cache
@@ -199,6 +200,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, Network | float], text: str
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_others("quality")
         vectors, network = shared.value
         for part in texts:
             if isinstance(network, float):
