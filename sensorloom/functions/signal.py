@@ -67,6 +67,75 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return run(b, a, y, y[0])[::-1][pad:-pad]
 
 
+class Carried:
+    """A zero-phase filter over a signal in consecutive parts of any lengths, each seen by itself.
+
+    What a part does to the filter's state is an affine map, forwards and backwards; maps are summaries of a few numbers, so
+    a scan over them gives the state at each part's two ends, and each part is then filtered from there.
+    """
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        self.impulse, _ = responses(tuple(b), tuple(a))
+        self.steady, self.pad, k = _steady(b, a), 3 * max(len(a), len(b)), len(a) - 1
+        self.step = np.eye(k, k, 1)
+        self.step[:, 0] -= a[1:]
+        enter, leave = [b[1:] - a[1:] * b[0]], [np.eye(k)[0]]
+        for _ in range(len(self.impulse) - 1):
+            enter.append(self.step @ enter[-1])
+            leave.append(leave[-1] @ self.step)
+        #: What a sample of 1 leaves in the state, and what the state leaves in the output, by the steps between them.
+        self.enter, self.leave = np.array(enter), np.array(leave)
+
+    def _after(self, n: int, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return own if n >= len(self.impulse) else np.linalg.matrix_power(self.step, n) @ state + own
+
+    def _left(self, x: np.ndarray) -> np.ndarray:
+        """The state that ``x`` leaves behind one of zeros."""
+        m = min(len(x), len(self.impulse))
+        return x[len(x) - m :][::-1] @ self.enter[:m]
+
+    def _out(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        y, m = np.convolve(x, self.impulse[: len(x)])[: len(x)], min(len(x), len(self.impulse))
+        y[:m] += self.leave[:m] @ state
+        return y
+
+    def summary(self, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A part's length, the states that it leaves forwards and backwards, and its first and last samples."""
+        near = x[: len(self.impulse)]
+        back = np.convolve(near, self.impulse[: len(near)])[: len(near)] @ self.enter[: len(near)]
+        return len(x), self._left(x), back, x[: self.pad + 1], x[-self.pad - 1 :]
+
+    def scan(self, parts: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """For each part, by summaries in order, the state before its first and behind its last sample; None where the signal is too short to filter."""
+        if sum(p[0] for p in parts) <= self.pad:
+            return None
+        first, last, k = np.zeros(0), np.zeros(0), self.pad + 1
+        for p in parts:
+            first = np.concatenate([first, p[3]])[:k]
+            if len(first) == k:
+                break
+        for p in reversed(parts):
+            last = np.concatenate([p[4], last])[-k:]
+            if len(last) == k:
+                break
+        start, end = 2 * first[0] - first[:0:-1], 2 * last[-1] - last[-2::-1]
+        state, before = self._after(self.pad, self.steady * start[0], self._left(start)), []
+        for n, own, *_ in parts:
+            before.append(state)
+            state = self._after(n, state, own)
+        y = self._out(end, state)[::-1]
+        state, behind = self._after(self.pad, self.steady * y[0], self._left(y)), []
+        for (n, _, own, *_), z in zip(reversed(parts), reversed(before), strict=True):
+            behind.append(state)
+            m = min(n, len(self.impulse))
+            state = self._after(n, state, own + self.enter[:m].T @ (self.leave[:m] @ z))
+        return list(zip(before, reversed(behind), strict=True))
+
+    def part(self, x: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """The filtered part, from the states at its ends."""
+        return self._out(self._out(x, before)[::-1], behind)[::-1]
+
+
 @cache
 def phasic_matrix(n: int, rate: float) -> np.ndarray:
     """The matrix that takes a window of ``n`` samples to its phasic part."""

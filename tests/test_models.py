@@ -118,14 +118,16 @@ def test_ridge_and_pretext(spark):
         assert (r.n_train, r.n_val) == (n, len(own) - n) and abs(r.rmse - np.sqrt(np.mean((x[n:] @ b - y[n:]) ** 2))) < 1e-9
 
 
-def test_lowpass(spark):
+@pytest.mark.parametrize("part", [kernels.PART, 11, 64])
+def test_lowpass(spark, part):
     rng = np.random.default_rng(6)
-    xs = {(1, 1): rng.normal(size=40), (1, 2): rng.normal(size=7), (2, 1): rng.normal(size=300)}
+    xs = {(1, 1): rng.normal(size=40), (1, 2): rng.normal(size=7), (2, 1): rng.normal(size=300), (None, 3): rng.normal(size=25)}
     df = spark.createDataFrame([(p, s, i, float(v)) for (p, s), x in xs.items() for i, v in enumerate(x)], "pid long, sid long, i long, x double").orderBy(F.desc("x"))
-    got = kernels.lowpass(df).toPandas().sort_values("i")
+    got = kernels.lowpass(df, part=part).toPandas().sort_values("i")
+    assert len(got) == sum(map(len, xs.values())) and not kernels.lowpass(df.limit(0), part=part).count()
     for (p, s), x in xs.items():
-        own = got[(got.pid == p) & (got.sid == s)]
-        assert np.allclose(own.x, x) and np.allclose(own.smooth, signal.zero_phase(*signal.butter(2, 1.25, 4.0), x))
+        own = got[(got.pid.isna() if p is None else got.pid == p) & (got.sid == s)]
+        assert np.allclose(own.x, x) and np.allclose(own.smooth, signal.zero_phase(*signal.butter(2, 1.25, 4.0), x), atol=1e-10)
 
 
 def test_26_features(spark):

@@ -27,6 +27,20 @@ def test_filter_coefficients_and_zero_phase():
     assert len(signal.zero_phase(b, a, np.ones(9))) == 9
 
 
+def test_filters_hand_on_their_state():
+    """Parts of any lengths, single samples too, give what the whole signal gives."""
+    rng = np.random.default_rng(3)
+    for b, a in (signal.butter(2, 1.25, 4.0), signal.butter(1, 0.05, 4.0, high=True), signal.butter(2, 0.02, 4.0)):
+        c = signal.Carried(b, a)
+        for n in (10, 60, 700, 5_000):
+            x = rng.normal(size=n) + 5
+            for cuts in ([], [1, 2, 3], list(range(1, min(n, 700))), sorted(set(rng.integers(1, n, 7).tolist()))):
+                parts = np.split(x, cuts)
+                ends = c.scan([c.summary(p) for p in parts])
+                assert np.abs(np.concatenate([c.part(p, *e) for p, e in zip(parts, ends, strict=True)]) - signal.zero_phase(b, a, x)).max() < 1e-10
+        assert c.scan([c.summary(np.ones(4)), c.summary(np.ones(c.pad - 4))]) is None
+
+
 def directly(b, a, x):
     """Zero-phase filtering as one linear system: a y = b x from a steady state, forwards and backwards, on the odd extension."""
     pad, k = 3 * len(a), len(a) - 1

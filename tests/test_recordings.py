@@ -13,25 +13,42 @@ from sensorloom.plans import protocols
 
 
 @pytest.mark.parametrize("tags", [[1_000.0], [1_000.0] * 2, [1_000.0] * 3 + [50_000.0], [1_000.0, 50_000.0, 50_000.0], [1_000.0, 3_000.0, 3_000.0, 200_000.0], []])
-def test_labels_do_not_hang_on_repeats(spark, tags):
+@pytest.mark.parametrize("few", [labels.FEW_TAGS, 0])
+def test_labels_do_not_hang_on_repeats(spark, tags, few):
     times = [float(t) for t in range(0, 260_000, 1_700)] + [1_000.0, 50_000.0]
     s = spark.createDataFrame([(1, 7, t, "own", "z") for t in times], "pid long, sid long, t double, bucket string, tag_kind string")
     t = spark.createDataFrame([(1, x) for x in tags], "pid long, tag_t double")
     near, buffer = 2_000, 6_000
     for rule, ahead in ((labels.two_sided, False), (labels.before_only, True)):
-        got = labels.labelled(s, t, near, buffer, rule).collect()
+        got = labels.labelled(s, t, near, buffer, rule, few).collect()
         assert {r.bucket for r in got} == {"own"} and {r.tag_kind for r in got} == {"z"} and len(got) == len(times)
         for r in got:
             d = [x - r.t for x in tags]
             one = any(0 <= x <= near for x in d) if ahead else any(abs(x) <= near for x in d)
             assert r.y == (1 if one else -1 if any(abs(x) <= buffer for x in d) else 0), (rule, r.t)
     ses = spark.createDataFrame([(1, 7, 0.0, 201_000.0)], "pid long, sid long, t0 double, t1 double")
-    got = labels.interval_labels(s, t.withColumn("sid", F.lit(7).cast("long")), ses, near).collect()
+    got = labels.interval_labels(s, t.withColumn("sid", F.lit(7).cast("long")), ses, near, few).collect()
     for r in got:
         kinds = {x - near >= 0 and x + near <= 201_000 for x in tags if abs(x - r.t) <= near}
         assert r.y == (1 if True in kinds else -1 if kinds else 0)
 
 
+def test_broadcast_tags_and_buckets_agree(spark, monkeypatch):
+    """Both plans give the same on random tags, null keys and times; samples are shuffled in one of them only."""
+    rng = random.Random(9)
+    some = lambda n, null: [(rng.choice([1, 2, None]), None if rng.random() < null else float(rng.randint(-3_000, 9_000))) for _ in range(n)]
+    s = spark.createDataFrame([(*r, n) for n, r in enumerate(some(600, 0.05))], "pid long, t double, n long")
+    t = spark.createDataFrame([(*r, rng.choice("ab")) for r in some(40, 0.1)], "pid long, tag_t double, kind string")
+    for radius, kinds in ((0.0, ()), (1.0, ("a", "b")), (700.0, ()), (700.0, ("b", "a", "none"))):
+        plans = [labels.near_tags(s, t, radius, 1_000.0, kinds=kinds, few=few) for few in (100, 0)]
+        few, many = (sorted(map(tuple, p.collect()), key=lambda r: r[2]) for p in plans)
+        assert few == many and len(few) == 600
+        assert ["BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans] == [True, False]
+    assert labels.stretches(t.selectExpr("pid", "tag_t as t", "kind as __kind"), 700.0, 700.0, ("pid",), ("a", "b"), 39) is None
+    monkeypatch.setattr(labels, "FEW_IN_BUCKET", 2)
+    assert "Broadcast" not in labels.near_tags(s, t, 700.0, 1_000.0)._jdf.queryExecution().executedPlan().toString()
+
+
 def two_sessions(spark, seed=1):
     rng = random.Random(seed)
     rows = [(p, sid, i, 1_000.0 * p + i / 4 + sid / 8, rng.random() * 4 + 10 * sid + 1, 0 if i < 60 else 1) for p in (1, 2) for sid in (0, 1) for i in range(100)]
