@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import DAY, carry, dealt
+
 
 def micros(t: Column | str) -> Column:
     """Seconds as whole microseconds, for frames that end just before a time."""
     return F.round((F.col(t) if isinstance(t, str) else t) * 1e6).cast("long")
 
 
-def tachogram(samples: DataFrame, beats: DataFrame) -> DataFrame:
+def tachogram(samples: DataFrame, beats: DataFrame, bucket: float = DAY) -> DataFrame:
     """``samples`` (pid, sid, t, ...) with rr, the beat intervals (pid, sid, bt, rr) interpolated at t, and below, the beats before t.
 
-    Before the first and after the last beat their own intervals hold; recordings without beats have no rr.  One shuffle
-    by recording; each frame grows with the current row.
+    Before the first and after the last beat their own intervals hold; recordings without beats have no rr.  Rows meet in
+    buckets of time; the last beat before a bucket, the first one behind it and the number of those before come from the
+    buckets' summaries, over any gap without beats.
     """
-    both = samples.unionByName(beats.select("pid", "sid", F.col("bt").alias("t"), F.col("rr").alias("beat_rr")), allowMissingColumns=True)
-    w = Window.partitionBy("pid", "sid")
+    both = samples.unionByName(beats.select("pid", "sid", F.col("bt").alias("t"), F.col("rr").alias("beat_rr")), allowMissingColumns=True).withColumn("us", micros("t"))
+    w = Window.partitionBy("pid", "sid", "__k")
     beat = F.when(F.col("beat_rr").isNotNull(), F.struct(F.col("t").alias("bt"), F.col("beat_rr").alias("rr")))
     to_here = lambda o: o.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("us", micros("t")).withColumns(
+    past, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    summary = {"__last": F.max(beat), "__first": F.min(beat), "__beats": F.count("beat_rr")}
+    # buckets go by microseconds, as the counts do: beats within one microsecond of a sample are in its bucket
+    met = carry(dealt(both, F.col("us"), bucket * 1e6), ["pid", "sid"], summary, lambda o: {
+        "__from": F.max("__last").over(o.rowsBetween(*past)), "__to": F.min("__first").over(o.rowsBetween(*ahead)), "__until": F.sum("__beats").over(o.rowsBetween(*past)),
+    })
+    found = met.withColumns(
         {
-            "beat_before": F.max(beat).over(to_here(w.orderBy("t"))), "beat_after": F.min(beat).over(to_here(w.orderBy(F.desc("t")))),
-            "below": F.count_if(F.col("beat_rr").isNotNull()).over(w.orderBy("us").rangeBetween(Window.unboundedPreceding, -1)),
+            "beat_before": F.coalesce(F.max(beat).over(to_here(w.orderBy("t"))), "__from"), "beat_after": F.coalesce(F.min(beat).over(to_here(w.orderBy(F.desc("t")))), "__to"),
+            "below": F.coalesce("__until", F.lit(0)) + F.count_if(F.col("beat_rr").isNotNull()).over(w.orderBy("us").rangeBetween(Window.unboundedPreceding, -1)),
         }
     )
     a, z = F.col("beat_before"), F.col("beat_after")
     line = a["rr"] + (z["rr"] - a["rr"]) * (F.col("t") - a["bt"]) / (z["bt"] - a["bt"])
     rr = F.when(a.isNull(), z["rr"]).when(z.isNull() | (z["bt"] == a["bt"]), a["rr"]).otherwise(line)
-    return found.filter("beat_rr is null").withColumn("rr", rr).drop("beat_rr", "us", "beat_before", "beat_after")
+    return found.filter("beat_rr is null").withColumn("rr", rr).drop("beat_rr", "us", "beat_before", "beat_after", "__k", "__from", "__to", "__until")
 
 
 def beats_in(windows: DataFrame, beats: DataFrame, span: float, keys: tuple[str, ...] = ("pid", "sid")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import DAY, running
+
 
 def shuffled(seed: int, *keys: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys])).cast("binary"))
@@ -42,47 +44,48 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return dealt.withColumn(name, (first + place).cast("long")).drop("range")
 
 
-def placed_by_time(rows: DataFrame, keys: list[str], t: str, *ties: str, bucket: float = 86_400.0) -> DataFrame:
+def placed_by_time(rows: DataFrame, keys: list[str], t: str, *ties: str, bucket: float = DAY) -> DataFrame:
     """``rows`` with place, from 1 by time in their group, and places, the group's rows.
 
     Rows are numbered inside buckets of time, behind the counts of the buckets before, so only the buckets of a group
-    are put in order.  Rows without a time come first, in a bucket of their own.
+    are put in order.  Rows without a time come first, in a bucket of their own; null keys are keys like others.
     """
-    dealt = rows.withColumn("__k", F.coalesce(F.floor(F.col(t) / bucket), F.lit(-(2**62))))
-    w = Window.partitionBy(*keys)
-    counts = dealt.groupBy(*keys, "__k").agg(F.count("*").alias("__m"))
-    before = F.coalesce(F.sum("__m").over(w.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.select(*keys, "__k", before.alias("__before"), F.sum("__m").over(w).alias("places"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__k").orderBy(F.col(t).asc_nulls_first(), *ties))
-    return dealt.join(sums, [*keys, "__k"]).withColumn("place", F.col("__before") + inside).drop("__k", "__before")
+    found = running(rows, keys, t, bucket, [F.col(t).asc_nulls_first(), *map(F.col, ties)], sums={"place": F.lit(1)})
+    return found.withColumn("place", F.col("place") + 1).withColumnRenamed("place_all", "places")
+
 
+def overlap_groups(sessions: DataFrame, bucket: float = 30 * DAY) -> DataFrame:
+    """``sessions`` (pid, sid, t0, t1, ...) with gid: recordings of a participant that overlap, directly or through others; touching is none.
 
-def overlap_groups(sessions: DataFrame) -> DataFrame:
-    """``sessions`` (pid, sid, t0, t1, ...) with gid: recordings of a participant that overlap, directly or through others; touching is none."""
-    w = Window.partitionBy("pid").orderBy("t0", "t1", "sid")
-    reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.when(reach.isNull() | (F.col("t0") >= reach), 1).otherwise(0)
-    return sessions.withColumn("first", first).withColumn("gid", (F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).drop("first")
+    The latest end so far and the number of groups so far are handed on between buckets of starts.
+    """
+    order = [F.col("t0"), F.col("t1"), F.col("sid")]
+    reached = running(sessions, ["pid"], "t0", bucket, order, tops={"reach": F.col("t1")})
+    first = F.when(F.col("reach").isNull() | (F.col("t0") >= F.col("reach")), 1).otherwise(0)
+    found = running(reached.withColumn("first", first).drop("reach"), ["pid"], "t0", bucket, order, sums={"gid": F.col("first")})
+    return found.withColumn("gid", (F.col("gid") + F.col("first") - 1).cast("long")).drop("first", "gid_all")
 
 
-def chrono_split(groups: DataFrame, share: float = 0.2) -> DataFrame:
+def chrono_split(groups: DataFrame, share: float = 0.2, bucket: float = 30 * DAY) -> DataFrame:
     """``groups`` (pid, gid, t0, weight) with split: the last groups, until they hold ``share`` of the weight, are test."""
-    w = Window.partitionBy("pid")
-    after = F.sum("weight").over(w.orderBy(F.desc("t0"), F.desc("gid")).rowsBetween(Window.unboundedPreceding, -1))
-    return groups.withColumn("split", F.when(F.coalesce(after, F.lit(0)) < share * F.sum("weight").over(w), "test").otherwise("train"))
+    found = running(groups, ["pid"], "t0", bucket, [F.desc("t0"), F.desc("gid")], sums={"after": F.col("weight")}, descending=True)
+    return found.withColumn("split", F.when(F.col("after") < share * F.col("after_all"), "test").otherwise("train")).drop("after", "after_all")
 
 
-def group_folds(groups: DataFrame, folds: int = 5) -> DataFrame:
+def group_folds(groups: DataFrame, folds: int = 5, bucket: float = 30 * DAY) -> DataFrame:
     """``groups`` (pid, gid, t0, weight) with fold: chronological, by the running share of the weight."""
-    w = Window.partitionBy("pid")
-    run = F.sum("weight").over(w.orderBy("t0", "gid").rowsBetween(Window.unboundedPreceding, 0))
-    return groups.withColumn("fold", F.greatest(F.lit(0), F.ceil(run * folds / F.sum("weight").over(w)) - 1).cast("long"))
+    found = running(groups, ["pid"], "t0", bucket, [F.col("t0"), F.col("gid")], sums={"run": F.col("weight")})
+    share = (F.col("run") + F.col("weight")) * folds / F.col("run_all")
+    return found.withColumn("fold", F.greatest(F.lit(0), F.ceil(share) - 1).cast("long")).drop("run", "run_all")
 
 
-def window_folds(rows: DataFrame, folds: int, *order: str) -> DataFrame:
-    """``rows`` (pid, ...) with fold: floor of place times folds over rows of the participant."""
-    w = Window.partitionBy("pid")
-    return rows.withColumn("fold", F.floor((F.row_number().over(w.orderBy(*order)) - 1) * folds / F.count("*").over(w)).cast("long"))
+def window_folds(rows: DataFrame, folds: int, *order: str, bucket: float = 4 * DAY) -> DataFrame:
+    """``rows`` (pid, ...) with fold: floor of place times folds over rows of the participant.
+
+    ``order`` begins with a number, of which ``bucket`` are numbered together: sample numbers of a day at 4 Hz, if nothing is said.
+    """
+    found = placed_by_time(rows, ["pid"], order[0], *order[1:], bucket=bucket)
+    return found.withColumn("fold", F.floor((F.col("place") - 1) * folds / F.col("places")).cast("long")).drop("place", "places")
 
 
 def random_group_split(groups: DataFrame, share: float, seed: int) -> DataFrame:
