@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 DAY = 86_400.0
 #: The bucket of rows without a place in the order.
 NOWHERE = -(2**62)
+#: Most narrow rows of a group that one task puts in order.
+FEW_ROWS = 100_000
 
 
 def dealt(rows: DataFrame, at: Column, width: float) -> DataFrame:
@@ -37,15 +39,27 @@ def carry(rows: DataFrame, keys: list[str], summary: dict[str, Column], found: C
     return rows.join(sums, same, "left").drop(*names, "__bucket")
 
 
+def width_for(rows: DataFrame, keys: list[str], width: float, few: int = FEW_ROWS) -> float | None:
+    """``width``, or None where no group of ``rows`` has more than ``few`` rows; they are counted."""
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return width if most > few else None
+
+
 def running(
-    rows: DataFrame, keys: list[str], at: str, width: float, order: list[Column], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, descending: bool = False
+    rows: DataFrame, keys: list[str], at: str, width: float | None, order: list[Column], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, descending: bool = False
 ) -> DataFrame:
     """``rows`` with, for each name, the sum (0 of none) or the largest value (null of none) of its column over the rows before in the group.
 
     at: the numeric column that the order begins with; order: the whole order, downwards in ``at`` if ``descending``.
-    Sums have name_all, too, the sum of the whole group.  Rows without ``at`` come first upwards and last downwards.
+    Sums have name_all, too, the sum of the whole group.  Rows without ``at`` come first upwards and last downwards.  Without a
+    ``width`` there is one level, for groups that are known to be small (``width_for``).
     """
     sums, tops = sums or {}, tops or {}
+    if width is None:
+        group = Window.partitionBy(*keys)
+        past = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        made = {n: F.coalesce(F.sum(c).over(past), F.lit(0)) for n, c in sums.items()} | {n: F.max(c).over(past) for n, c in tops.items()}
+        return rows.withColumns(made | {f"{n}_all": F.sum(c).over(group) for n, c in sums.items()})
     inside = Window.partitionBy(*keys, "__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
     def before(w: WindowSpec) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .scans import DAY, running
+from .scans import DAY, FEW_ROWS, running, width_for
 
 
 def shuffled(seed: int, *keys: str) -> Column:
@@ -55,29 +55,32 @@ def placed_by_time(rows: DataFrame, keys: list[str], t: str, *ties: str, bucket:
     return found.withColumn("place", F.col("place") + 1).withColumnRenamed("place_all", "places")
 
 
-def overlap_groups(sessions: DataFrame, bucket: float = 30 * DAY) -> DataFrame:
+def overlap_groups(sessions: DataFrame, bucket: float = 30 * DAY, few: int = FEW_ROWS) -> DataFrame:
     """``sessions`` (pid, sid, t0, t1, ...) with gid: recordings of a participant that overlap, directly or through others; touching is none.
 
     The latest end so far and the number of groups so far are handed on between buckets of starts.  A row for each recording is
-    written first, as both scans and their summaries read it.
+    written first, as both scans and their summaries read it.  Participants of up to ``few`` recordings are put in order at once.
     """
     sessions = written(sessions, "recordings")
+    width = width_for(sessions, ["pid"], bucket, few)
     order = [F.col("t0"), F.col("t1"), F.col("sid")]
-    reached = running(sessions, ["pid"], "t0", bucket, order, tops={"reach": F.col("t1")})
+    reached = running(sessions, ["pid"], "t0", width, order, tops={"reach": F.col("t1")})
     first = F.when(F.col("reach").isNull() | (F.col("t0") >= F.col("reach")), 1).otherwise(0)
-    found = running(reached.withColumn("first", first).drop("reach"), ["pid"], "t0", bucket, order, sums={"gid": F.col("first")})
+    found = running(reached.withColumn("first", first).drop("reach"), ["pid"], "t0", width, order, sums={"gid": F.col("first")})
     return found.withColumn("gid", (F.col("gid") + F.col("first") - 1).cast("long")).drop("first", "gid_all")
 
 
-def chrono_split(groups: DataFrame, share: float = 0.2, bucket: float = 30 * DAY) -> DataFrame:
+def chrono_split(groups: DataFrame, share: float = 0.2, bucket: float = 30 * DAY, few: int = FEW_ROWS) -> DataFrame:
     """``groups`` (pid, gid, t0, weight) with split: the last groups, until they hold ``share`` of the weight, are test."""
-    found = running(written(groups, "groups"), ["pid"], "t0", bucket, [F.desc("t0"), F.desc("gid")], sums={"after": F.col("weight")}, descending=True)
+    groups = written(groups, "groups")
+    found = running(groups, ["pid"], "t0", width_for(groups, ["pid"], bucket, few), [F.desc("t0"), F.desc("gid")], sums={"after": F.col("weight")}, descending=True)
     return found.withColumn("split", F.when(F.col("after") < share * F.col("after_all"), "test").otherwise("train")).drop("after", "after_all")
 
 
-def group_folds(groups: DataFrame, folds: int = 5, bucket: float = 30 * DAY) -> DataFrame:
+def group_folds(groups: DataFrame, folds: int = 5, bucket: float = 30 * DAY, few: int = FEW_ROWS) -> DataFrame:
     """``groups`` (pid, gid, t0, weight) with fold: chronological, by the running share of the weight."""
-    found = running(written(groups, "groups"), ["pid"], "t0", bucket, [F.col("t0"), F.col("gid")], sums={"run": F.col("weight")})
+    groups = written(groups, "groups")
+    found = running(groups, ["pid"], "t0", width_for(groups, ["pid"], bucket, few), [F.col("t0"), F.col("gid")], sums={"run": F.col("weight")})
     share = (F.col("run") + F.col("weight")) * folds / F.col("run_all")
     return found.withColumn("fold", F.greatest(F.lit(0), F.ceil(share) - 1).cast("long")).drop("run", "run_all")
 

@@ -30,18 +30,18 @@ def test_running_values(spark, width, down):
             s, m = s + (r[3] or 0), r[3] if m is None else m if r[3] is None else max(m, r[3])
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_groups_splits_and_folds_at_any_width(spark, width):
+@pytest.mark.parametrize("width,few", [*[(w, 0) for w in WIDTHS], (7.0, 100_000)])
+def test_groups_splits_and_folds_at_any_width(spark, width, few):
     rng, rows = random.Random(2), []
     for pid in (1, 1, 1, 2, None):
         for _ in range(40):
             t0 = float(rng.randint(0, 300))
             rows.append((pid, len(rows), t0, t0 + rng.randint(0, 6), rng.randint(1, 9)))
     df = spark.createDataFrame(rows, "pid long, sid long, t0 double, t1 double, weight long")
-    got = {r.sid: r.gid for r in splits.overlap_groups(df, width).collect()}
+    got = {r.sid: r.gid for r in splits.overlap_groups(df, width, few).collect()}
     flat = df.withColumn("gid", F.col("sid"))
-    split = {r.gid: r.split for r in splits.chrono_split(flat, 0.2, width).collect()}
-    fold = {r.gid: r.fold for r in splits.group_folds(flat, 5, width).collect()}
+    split = {r.gid: r.split for r in splits.chrono_split(flat, 0.2, width, few).collect()}
+    fold = {r.gid: r.fold for r in splits.group_folds(flat, 5, width, few).collect()}
     place = {r.sid: r.fold for r in splits.window_folds(df, 5, "t0", "sid", bucket=width).collect()}
     assert len(got) == len(split) == len(fold) == len(place) == len(rows)
     for pid in (1, 2, None):
