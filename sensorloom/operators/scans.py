@@ -19,8 +19,9 @@ FEW_ROWS = 100_000
 
 
 def dealt(rows: DataFrame, at: Column, width: float) -> DataFrame:
-    """``rows`` with __k, the number of their bucket; null and NaN have one of their own, before all others."""
-    return rows.withColumn("__k", F.coalesce(F.floor(F.nanvl(at.cast("double"), F.lit(None).cast("double")) / width), F.lit(NOWHERE)))
+    """``rows`` with __k, the number of their bucket; null has one of its own before all others, NaN one behind them, as in Spark's order."""
+    v = at.cast("double")
+    return rows.withColumn("__k", F.when(F.isnan(v), -NOWHERE).otherwise(F.coalesce(F.floor(v / width), F.lit(NOWHERE))))
 
 
 def carry(rows: DataFrame, keys: list[str], summary: dict[str, Column], found: Callable[[WindowSpec], dict[str, Column]], descending: bool = False) -> DataFrame:
