@@ -68,7 +68,8 @@ def near_tags(
     at = lambda c: F.floor(c / bucket)
     spread = once.withColumn("__bucket", F.explode(F.sequence(at(F.col("t") - radius), at(F.col("t") + radius))))
     known = spread.withColumn("__next", F.lead("t").over(Window.partitionBy(*keys, "__bucket", "__kind").orderBy("t")))
-    marks = spread.groupBy(*keys, "__bucket", "__kind").agg(F.min("t").alias("__next")).withColumn("t", F.lit(float("-inf")))
+    # without a time they come first; one that cannot be a whole number would fail in casts that Spark moves below the union
+    marks = spread.groupBy(*keys, "__bucket", "__kind").agg(F.min("t").alias("__next")).withColumn("t", F.lit(None).cast("double"))
     both = samples.withColumns({"__bucket": at(F.col("t")), "__kind": F.lit(None).cast("string")}).unionByName(known, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
     back = Window.partitionBy(*keys, "__bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last, found = {}, {}

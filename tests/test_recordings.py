@@ -5,11 +5,14 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from sensorloom.functions import signal
 from sensorloom.operators import beats, features, labels, metrics, models, splits, windows
-from sensorloom.plans import protocols
+from sensorloom.plans import catalog, protocols
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("tags", [[1_000.0], [1_000.0] * 2, [1_000.0] * 3 + [50_000.0], [1_000.0, 50_000.0, 50_000.0], [1_000.0, 3_000.0, 3_000.0, 200_000.0], []])
@@ -147,3 +150,14 @@ def test_no_group_is_sorted_whole_for_weights_and_tails(spark):
     rows = spark.range(100).select((F.col("id") % 2).alias("pid"), F.lit(0).alias("fold"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     got = models.balanced(rows, ["pid", "fold"])
     assert "Window [count" not in got._jdf.queryExecution().toString() and abs(got.filter("y = 1 and pid = 0").first().weight - 50 / (2 * 17)) < 1e-12
+
+
+def many_tags(monkeypatch):
+    """Labels as they are found when there are too many tags to broadcast."""
+    found = labels.labelled
+    monkeypatch.setattr(labels, "labelled", lambda *a, **k: found(*a, **k | {"few": 0}))
+
+
+def test_encoders_of_signal_and_heart_with_many_tags(spark, monkeypatch):
+    many_tags(monkeypatch)
+    assert catalog.QUERIES["q101_conv_fusion"](spark, SF).count() > 0
