@@ -161,3 +161,8 @@ def many_tags(monkeypatch):
 def test_encoders_of_signal_and_heart_with_many_tags(spark, monkeypatch):
     many_tags(monkeypatch)
     assert catalog.QUERIES["q101_conv_fusion"](spark, SF).count() > 0
+
+
+def test_two_signals_with_many_tags(spark, monkeypatch):
+    many_tags(monkeypatch)
+    same(spark, SF, catalog.QUERIES["q54_multimodal_windows"], catalog.ORACLE["q54_multimodal_windows"])
