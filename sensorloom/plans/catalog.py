@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import balance, kernels, labels, metrics, models, splits, windows
@@ -85,8 +85,14 @@ def points(w: DataFrame) -> DataFrame:
     return w.select("pid", "sid", "s", "y", F.posexplode("x").alias("i", "x"))
 
 
+def places(x: Column | str, digits: int) -> Column:
+    """``x``, a double, rounded; what rounds to zero keeps its sign, as in SQL (-0.00001 is -0.0)."""
+    made = F.round(x, digits)
+    return F.when(made == 0, F.signum(x) * F.lit(0.0)).otherwise(made)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+    return df.withColumns({c: places(c, digits) for c, t in df.dtypes if t == "double"})
 
 
 def devices(spark: SparkSession, d: str) -> DataFrame:
@@ -223,14 +229,14 @@ def q14(spark, d):
     w = Window.partitionBy("pid")
     z = whole(spark, d, None).withColumn("split", F.when(F.col("i") < 0.8 * F.count("*").over(w), "train").otherwise("test"))
     train = F.when(F.col("split") == "train", F.col("x"))
-    return z.select("event_id", "split", F.round((F.col("x") - F.min(train).over(w)) / (F.max(train).over(w) - F.min(train).over(w) + F.lit(1e-12)), 6).alias("x"))
+    return z.select("event_id", "split", places((F.col("x") - F.min(train).over(w)) / (F.max(train).over(w) - F.min(train).over(w) + F.lit(1e-12)), 6).alias("x"))
 
 
 @query("q15_session_zscore", "SELECT event_id, round((x - avg(x) OVER v) / (stddev_pop(x) OVER v + 1e-8), 4) AS z, round((x - avg(x) OVER v) / (stddev_samp(x) OVER v + 1e-8), 4) AS z1 FROM s WINDOW v AS (PARTITION BY pid, sid) QUALIFY count(*) OVER v > 1 AND stddev_pop(x) OVER v > 1e-3")
 def q15(spark, d):
     w = Window.partitionBy("pid", "sid")
     c = F.col("x") - F.avg("x").over(w)
-    z = recordings(spark, d).withColumns({"z": F.round(c / (F.stddev_pop("x").over(w) + F.lit(1e-8)), 4), "z1": F.round(c / (F.stddev_samp("x").over(w) + F.lit(1e-8)), 4), "n": F.count("*").over(w), "sd": F.stddev_pop("x").over(w)})
+    z = recordings(spark, d).withColumns({"z": places(c / (F.stddev_pop("x").over(w) + F.lit(1e-8)), 4), "z1": places(c / (F.stddev_samp("x").over(w) + F.lit(1e-8)), 4), "n": F.count("*").over(w), "sd": F.stddev_pop("x").over(w)})
     return z.filter("n > 1 and sd > 1e-3").select("event_id", "z", "z1")
 
 
@@ -253,12 +259,12 @@ def q17(spark, d):
 @query("q18_moments", """, m AS (SELECT pid, s, x - avg(x) OVER (PARTITION BY pid, s) AS c FROM wx)
 SELECT pid, s, round(avg(c * c * c) / pow(avg(c * c), 1.5), 5) AS skew, round(avg(c * c * c * c) / pow(avg(c * c), 2) - 3, 5) AS kurt FROM m GROUP BY pid, s""")
 def q18(spark, d):
-    return points(cut(spark, d)).groupBy("pid", "s").agg(F.round(F.coalesce(F.skewness("x"), F.lit(0.0)), 5).alias("skew"), F.round(F.coalesce(F.kurtosis("x"), F.lit(0.0)), 5).alias("kurt"))
+    return points(cut(spark, d)).groupBy("pid", "s").agg(places(F.coalesce(F.skewness("x"), F.lit(0.0)), 5).alias("skew"), places(F.coalesce(F.kurtosis("x"), F.lit(0.0)), 5).alias("kurt"))
 
 
 @query("q19_slope", "SELECT pid, s, round(regr_slope(x, i / 4.0), 5) AS slope FROM wx GROUP BY pid, s")
 def q19(spark, d):
-    return points(cut(spark, d)).groupBy("pid", "s").agg(F.round(F.regr_slope("x", F.col("i") / F.lit(4.0)), 5).alias("slope"))
+    return points(cut(spark, d)).groupBy("pid", "s").agg(places(F.regr_slope("x", F.col("i") / F.lit(4.0)), 5).alias("slope"))
 
 
 @query("q20_diff_stats", """, a AS (SELECT *, x - lag(x) OVER v AS d1, x - 2 * lag(x) OVER v + lag(x, 2) OVER v AS d2 FROM wx WINDOW v AS (PARTITION BY pid, s ORDER BY i))
@@ -275,7 +281,7 @@ SELECT pid, s, round(sum((p + q) / 2) / 4, 5) AS auc FROM a GROUP BY pid, s""")
 def q21(spark, d):
     up = F.transform("x", lambda v: F.greatest(v - 50, F.lit(0.0)))
     area = F.expr("aggregate(zip_with(slice(u, 2, 9), slice(u, 1, 9), (a, b) -> (a + b) / 2), 0D, (s, v) -> s + v) / 4")
-    return cut(spark, d).select("pid", "s", up.alias("u")).select("pid", "s", F.round(area, 5).alias("auc"))
+    return cut(spark, d).select("pid", "s", up.alias("u")).select("pid", "s", places(area, 5).alias("auc"))
 
 
 BEATS = """, b AS (SELECT pid, sid, t AS bt, (t - lag(t) OVER (PARTITION BY pid, sid ORDER BY i)) / 20000 AS rr FROM s), ok AS (SELECT * FROM b WHERE rr > 0.3 AND rr < 2.0)
@@ -479,7 +485,7 @@ pk AS (SELECT vec_id, other, CAST('0x' || substr(md5('43:' || vec_id), 1, 8) AS
 SELECT vec_id, other, round(lam, 9) AS lam, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] + lam * (z[2] - z[1]))), 6) AS total FROM pk JOIN v a USING (vec_id) JOIN v b ON b.vec_id = pk.other""", shared=False)
 def q44(spark, d):
     s = balance.smote(vectors(spark, d), 5, SEED, group="label")
-    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
+    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), places(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
 EVERY = KNN.replace("a.label = b.label AND a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id")
@@ -494,7 +500,7 @@ def q43b(spark, d):
 @query("q44b_smote_all", ORACLE["q44_smote"].replace(KNN, EVERY), shared=False)
 def q44b(spark, d):
     s = balance.smote(vectors(spark, d), 5, SEED)
-    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), F.round(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
+    return s.select("vec_id", "other", F.round("lam", 9).alias("lam"), places(F.expr("aggregate(v, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
 @query("q45_norm_artefact", ", f AS (SELECT pid, s, y, stddev_pop(x) AS sd, max(x) - min(x) AS rg FROM wx WHERE y >= 0 GROUP BY pid, s, y) SELECT y, count(*) AS n, round(median(sd), 6) AS median_std, round(median(rg), 6) AS median_range, round(avg(CAST(rg < 100 AS INTEGER)), 6) AS share_flat FROM f GROUP BY y")

@@ -9,7 +9,7 @@ from ..operators import balance, kernels, labels, metrics, models, splits, windo
 from ..operators import beats as heart
 from ..shared import written
 from ..sources.tables import table
-from .catalog import BEATS, DEV, FEATURES, SEED, SPAN, beats, cut, device_groups, devices, feature_rows, labelled, long_sessions, one_recording, points, query, recordings, rounded, whole  # before what hangs on it
+from .catalog import BEATS, DEV, FEATURES, SEED, SPAN, beats, cut, device_groups, devices, feature_rows, labelled, long_sessions, one_recording, places, points, query, recordings, rounded, whole  # before what hangs on it
 from .blocks import BLOCKS, blocks  # noqa: I001
 
 #: Windows by the labels that look ahead only, found without panes: those that ``wb`` has samples for, with a horizon of one.
@@ -37,7 +37,7 @@ def zscored(rows: DataFrame) -> DataFrame:
 @query("q53_zscored_windows", WB + Z + " SELECT f.pid, f.s, f.y, round(sum(z) FILTER (i < s + 10), 4) AS total, round(max(z) FILTER (i = s + 10), 4) AS ahead FROM wf f JOIN zz ON f.pid = zz.pid AND i BETWEEN s AND s + 10 WHERE n_all = 11 AND mean >= 40 GROUP BY 1, 2, 3")
 def q53(spark, d):
     w = windows.windows(zscored(whole(spark, d, labels.before_only)), 5, 1, 40.0, ("z",))
-    return w.select("pid", "s", "y", F.round(total("z"), 4).alias("total"), F.round(F.col("z_yf")[0], 4).alias("ahead"))
+    return w.select("pid", "s", "y", places(total("z"), 4).alias("total"), places(F.col("z_yf")[0], 4).alias("ahead"))
 
 
 @query("q54_multimodal_windows", BEATS + WB + Z + """, bs AS (SELECT pid, count(*) AS n, avg(rr) AS m, stddev_pop(rr) AS sd FROM ok GROUP BY pid HAVING count(*) >= 2),
@@ -54,7 +54,7 @@ def q54(spark, d):
     both = heart.tachogram(zscored(whole(spark, d, labels.before_only)), b).join(stats, ["pid", "sid"])
     both = both.withColumn("h", (F.col("rr") - F.col("m")) / (F.col("sd") + F.lit(1e-8)))
     w = windows.windows(both, 5, 1, 40.0, ("z", "h", "below")).withColumn("n_beats", F.element_at("below", -1) - F.col("below")[0])
-    return w.filter("n_beats >= 4").select("pid", "s", "y", "n_beats", F.round(total("z"), 4).alias("eda"), F.round(total("h"), 4).alias("hrv"), F.round(F.col("h_yf")[0], 4).alias("hrv_ahead"))
+    return w.filter("n_beats >= 4").select("pid", "s", "y", "n_beats", places(total("z"), 4).alias("eda"), places(total("h"), 4).alias("hrv"), places(F.col("h_yf")[0], 4).alias("hrv_ahead"))
 
 
 KEPT = BEATS + WB + f""", lw AS (SELECT * FROM wf WHERE mean >= 40), wbt AS (SELECT f.pid, f.s, f.y, bt, rr, rr - lag(rr) OVER (PARTITION BY f.pid, f.s ORDER BY bt) AS d FROM lw f JOIN ok ON ok.pid = f.pid AND bt >= t_start AND bt < t_start + {SPAN} WHERE f.y >= 0),
@@ -74,7 +74,7 @@ round((rmssd - avg(rmssd) OVER v) / (stddev_samp(rmssd) OVER v + 1e-8), 4) AS rm
 def q55(spark, d):
     v = Window.partitionBy("pid")
     z = (F.col("rmssd") - F.avg("rmssd").over(v)) / (F.stddev_samp("rmssd").over(v) + F.lit(1e-8))
-    made = splits.window_folds(heart_windows(spark, d)[1].withColumn("rmssd_z", F.round(z, 4)), 5, "s")
+    made = splits.window_folds(heart_windows(spark, d)[1].withColumn("rmssd_z", places(z, 4)), 5, "s")
     return rounded(made)
 
 
@@ -145,7 +145,7 @@ def q61(spark, d):
     train = F.when(F.col("y") < 4, F.col("x"))
     sd = F.stddev_pop(train).over(w)
     z = p.select("pid", "s", ((F.col("x") - F.avg(train).over(w)) / F.nullif(sd, F.lit(0.0))).alias("z"), F.avg(train).over(w).alias("mu"))
-    return z.filter("mu is not null").groupBy("pid", "s").agg(F.round(F.sum("z"), 4).alias("total"))
+    return z.filter("mu is not null").groupBy("pid", "s").agg(places(F.sum("z"), 4).alias("total"))
 
 
 @query("q62_train_span_stats", BLOCKS + "SELECT subject, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT DISTINCT subject, i, x FROM bl JOIN b2 USING (subject) WHERE split = 'train' AND i BETWEEN start AND start + 6) GROUP BY subject")
@@ -179,7 +179,7 @@ def q86(spark, d):
 @query("q87_segment_minmax", "SELECT pid, s, round(sum((x - lo) / (hi - lo)), 4) AS total FROM (SELECT *, min(x) OVER v AS lo, max(x) OVER v AS hi FROM wx WINDOW v AS (PARTITION BY pid, s)) WHERE hi > lo GROUP BY pid, s")
 def q87(spark, d):
     w = cut(spark, d).select("pid", "s", "x", F.array_min("x").alias("lo"), F.array_max("x").alias("hi")).filter("hi > lo")
-    return w.select("pid", "s", F.round(total(F.transform("x", lambda v: (v - F.col("lo")) / (F.col("hi") - F.col("lo")))), 4).alias("total"))
+    return w.select("pid", "s", places(total(F.transform("x", lambda v: (v - F.col("lo")) / (F.col("hi") - F.col("lo")))), 4).alias("total"))
 
 
 @query("q88_train_span_zscore", BLOCKS + """, m AS (SELECT subject, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT DISTINCT subject, i, x FROM bl JOIN b2 USING (subject) WHERE split = 'train' AND i BETWEEN start AND start + 6) GROUP BY subject)
@@ -187,7 +187,7 @@ SELECT subject, i, round((x - mu) / (sd + 1e-8), 4) AS z FROM bl JOIN m USING (s
 def q88(spark, d):
     rows, starts = blocks(spark, d)
     m = windows.covered(rows, starts.filter("split = 'train'"), 7).groupBy("subject").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-    return rows.join(m, "subject").select("subject", "i", F.round((F.col("x") - F.col("mu")) / (F.col("sd") + F.lit(1e-8)), 4).alias("z"))
+    return rows.join(m, "subject").select("subject", "i", places((F.col("x") - F.col("mu")) / (F.col("sd") + F.lit(1e-8)), 4).alias("z"))
 
 
 @query("q76_stratified_subset", "SELECT doc_id, quality AS y FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS k FROM labels) WHERE k <= CASE quality WHEN 1 THEN 50 ELSE 51 END", shared=False)
