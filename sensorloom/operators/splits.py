@@ -156,8 +156,10 @@ def leaks(rows: DataFrame) -> DataFrame:
     """(pid, leak): violations in ``rows`` (pid, sid, gid, t0, split).
 
     Groups on both sides; recordings of the training part that are in the test part, too (a semi join that should be empty);
-    participants whose training does not start before the test; rows without a split.
+    participants whose training does not start before the test; rows without a split.  The rows are written first, as all
+    checks read them: what made them runs once, and a task holds one check's groups only.
     """
+    rows = written(rows.select("pid", "sid", "gid", "t0", "split"), "splits")
     both = rows.groupBy("pid", "gid").agg(F.count_distinct("split").alias("n")).filter("n > 1").select("pid", F.lit("group on both sides").alias("leak"))
     part = lambda s: rows.filter(F.col("split") == s)
     shared = part("train").select("pid", "sid").distinct().join(part("test").select("pid", "sid"), ["pid", "sid"], "left_semi").select("pid", F.lit("recording on both sides").alias("leak"))

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sensorloom.operators import beats, scans, splits
+from sensorloom.plans import catalog
 from sensorloom.sources import recordings, sensors
 
 WIDTHS = [0.5, 7.0, 1e9]
@@ -128,3 +129,8 @@ def test_only_files_of_wanted_participants_are_opened(spark, tmp_path):
     assert read().filter("pid = 'P101C' and pid = 'P9'").count() == 0 and read().filter("pid = 'none'").count() == 0
     only = read().filter((F.col("pid") == "P101C") & (F.col("t0") > 50))
     assert [r.pid for r in only.collect()] == ["P101C"]
+
+
+def test_leak_checks_read_what_is_written_once(spark):
+    plan = catalog.QUERIES["q60_leak_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "/splits-" in plan
