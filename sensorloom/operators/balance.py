@@ -15,6 +15,8 @@ from .splits import first_rows, numbered, shuffled
 
 #: Rows of a block that the search for neighbours compares at once.
 BLOCK = 1_024
+#: Pairs whose distances are computed at once.
+SOME = 8_192
 
 
 def undersample(rows: DataFrame, keys: list[str], key: str, seed: int, y: str = "y") -> DataFrame:
@@ -76,25 +78,53 @@ def nine_places(x: np.ndarray) -> np.ndarray:
     return np.array([float(Decimal(repr(float(v))).quantize(Decimal("1e-9"), ROUND_HALF_UP, Context(prec=400))) for v in each])[at]
 
 
-def nearest(q: np.ndarray, c: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, distance) of the k nearest ``c`` of each ``q``: a matrix product rules out what is surely farther, the rest is computed."""
-    if c.shape[0] > k:
-        qq, cc = (q * q).sum(axis=1)[:, None], (c * c).sum(axis=1)[None, :]
-        about = qq + cc - 2 * (q @ c.T)
-        off = (np.sqrt(qq) + np.sqrt(cc)) ** 2 * (q.shape[1] + 8) * 1e-15  # what the product may be wrong by
-        high = np.where(own, np.inf, about + off)
-        most = np.partition(high, k - 1, axis=1)[:, k - 1 : k]
-        close = ~own & ~(about - off > (np.sqrt(np.maximum(most, 0)) + 2e-9) ** 2)  # not numbers (overflow) stay
-    else:
-        close = ~own
-    found = []
-    for r in range(len(q)):
-        at = np.flatnonzero(close[r])
-        if len(at):
-            d = nine_places(np.sqrt(np.cumsum((q[r] - c[at]) ** 2, axis=1)[:, -1]))
-            order = np.lexsort((ids[at], d))[:k]
-            found.append((np.full(len(order), r), ids[at][order], d[order]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+def places_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, column) places where ``a`` and ``b`` are the same; ids may repeat."""
+    if not np.isin(a, b).any():
+        return np.empty(0, int), np.empty(0, int)
+    return np.nonzero(a[:, None] == b[None, :])
+
+
+def nearest(q: np.ndarray, c: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of the k nearest ``c`` of each ``q``: a matrix product rules out what is surely farther, the rest is computed.
+
+    ``own`` are the (row, column) places of rows that are no candidates of each other.  ``most``: for each q a distance
+    beyond which no c is wanted (infinity of none).
+    """
+    no = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+    if most is None:
+        most = np.full(len(q), np.inf)
+    qq, cc = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    about = q @ c.T
+    about *= -2
+    about += qq[:, None]
+    about += cc
+    # what the product may be wrong by
+    off = (np.sqrt(qq) + np.sqrt(cc.max(initial=0))) ** 2 * (q.shape[1] + 8) * 1e-15
+    about[own] = np.inf
+    first = np.flatnonzero(~np.isfinite(most))
+    if len(first) and c.shape[0] > k:
+        high = np.partition(about[first], k - 1, axis=1)[:, k - 1] + off[first]
+        most = most.copy()
+        most[first] = np.sqrt(np.maximum(high, 0))
+    close = ~(about > ((most + 2e-9) ** 2 + off)[:, None])  # not numbers (overflow) stay
+    close[own] = False
+    row, at = np.nonzero(close)
+    if not len(row):
+        return no
+    dist = np.empty(len(row))
+    for a in range(0, len(row), SOME):
+        z = slice(a, a + SOME)
+        dist[z] = np.sqrt(np.cumsum((q[row[z]] - c[at[z]]) ** 2, axis=1)[:, -1])
+    near = ~(dist > most[row] + 4e-9)  # by the distance itself, before the slow rounding
+    row, at, dist = row[near], at[near], dist[near]
+    if not len(row):
+        return no
+    dist = nine_places(dist)
+    order = np.lexsort((ids[at], dist, row))
+    row, at, dist = row[order], at[order], dist[order]
+    stays = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[stays], ids[at[stays]], dist[stays]
 
 
 def neighbours(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "v", group: str | None = None) -> DataFrame:
@@ -125,7 +155,10 @@ def neighbours(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "v",
                         yield rows_of()
                     last, q_ids, best = (g, dim, ids_of_q, q_block), np.frombuffer(ids_of_q, np.int64), (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
                 ids = np.frombuffer(ids.as_py(), np.int64)
-                new = nearest(np.frombuffer(q_block).reshape(-1, dim), np.frombuffer(block.as_py()).reshape(-1, dim), q_ids[:, None] == ids[None, :], ids, k)
+                most = np.full(len(q_ids), np.inf)  # the worst of k found so far
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(q_ids)) >= k)
+                most[full] = best[2][np.searchsorted(best[0], full) + k - 1]
+                new = nearest(np.frombuffer(q_block).reshape(-1, dim), np.frombuffer(block.as_buffer()).reshape(-1, dim), places_of(q_ids, ids), ids, k, most)
                 row, other, dist = (np.concatenate(x) for x in zip(best, new, strict=True))
                 order = np.lexsort((other, dist, row))
                 row, other, dist = row[order], other[order], dist[order]

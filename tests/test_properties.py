@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -155,6 +156,19 @@ def test_neighbours_are_all_of_the_group(spark, monkeypatch, group):
     assert len(got) == len(want) and {(r.vec_id, r["rank"], r.other, r.dist) for r in got} == want
 
 
+def test_a_search_holds_few_matrices():
+    rng = np.random.default_rng(5)
+    q, c = rng.normal(size=(1_024, 16)), rng.normal(size=(1_024, 16))
+    tracemalloc.start()
+    row, other, dist = balance.nearest(q, c, (np.arange(3), np.arange(3)), np.arange(1_024), 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.5 * 1_024 * 1_024 * 8 and len(row) == 5 * 1_024 and not (row == other)[row < 3].any()
+    kth = dist.reshape(-1, 5)[:, 4]
+    again = balance.nearest(q, c, (np.arange(3), np.arange(3)), np.arange(1_024), 5, kth)  # what is known already hides none that is as near
+    assert all((a == b).all() for a, b in zip((row, other, dist), again, strict=True))
+
+
 def test_every_label_has_neighbours(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert catalog.QUERIES["q43b_knn_topk_all"](spark, "/root/testdata/sf0.001").select("vec_id").distinct().count() == n == catalog.QUERIES["q44b_smote_all"](spark, "/root/testdata/sf0.001").count()
