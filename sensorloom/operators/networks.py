@@ -8,6 +8,7 @@ Parameters are tables of layers, so a run can keep them (``sensors.saved``), loa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,22 @@ from . import models
 
 #: Rows of a block, and bytes of all groups' parameters that driver and tasks hold.
 BLOCK, MOST = 1_024, 256_000_000
+#: Bytes of blocks that a worker gets at a time; it holds them some three times over, and an executor has a worker for each core.
+HANDED = 8_000_000
+
+
+@contextmanager
+def handed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands a worker ``HANDED`` bytes at a time, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None) is not None
+    if not own:
+        spark.conf.set(name, HANDED)
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(name)
 
 
 def kinds(df: DataFrame, keys: list[str]) -> str:
@@ -117,7 +134,9 @@ def fit(data: DataFrame, net: Network, keys: list[str], steps: int, rate: float
 
         sums = models.group_sums(data.filter(F.col("batch") == step % batches), keys, part)
         added = models.solved(sums, keys, lambda v: {"total": v.tobytes()}, "total binary")
-        for r in added.collect():  # an array of parameters' size for each group
+        with handed(spark):
+            met = added.collect()  # an array of parameters' size for each group
+        for r in met:
             key, total = tuple(r[k] for k in keys), np.frombuffer(r["total"])
             if total[-1] > 0:
                 history.append((*key, step, float(total[-2] / total[-1])))
@@ -128,7 +147,7 @@ def fit(data: DataFrame, net: Network, keys: list[str], steps: int, rate: float
 
 
 def outputs(data: DataFrame, net: Network, keys: list[str], layers: DataFrame) -> DataFrame:
-    """(keys, row, y, out): what the networks of ``layers`` make of each row of ``data`` (of ``blocks``); probabilities where the loss is of classes.
+    """(keys, row, y, out): what the networks of ``layers`` make of each row of ``data`` (of ``blocks``), written; probabilities where the loss is of classes.
 
     Groups that ``layers`` lacks have no rows.
     """
@@ -151,7 +170,8 @@ def outputs(data: DataFrame, net: Network, keys: list[str], layers: DataFrame) -
                         out /= out.sum(axis=1, keepdims=True)
                     yield pd.DataFrame({k: [v] * block.n for k, v in zip(keys, key, strict=True)} | {"row": row, "y": list(y), "out": list(out)})
 
-    return data.mapInPandas(made, kinds(data, keys) + "row long, y array<double>, out array<double>")
+    with handed(data.sparkSession):
+        return written(data.mapInPandas(made, kinds(data, keys) + "row long, y array<double>, out array<double>"), "outputs")
 
 
 def rmse(made: DataFrame, keys: list[str]) -> DataFrame:

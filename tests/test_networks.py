@@ -164,3 +164,30 @@ def test_rows_with_nulls_are_left_out(spark):
     rows = spark.createDataFrame(pdf).withColumn("y", F.when(F.col("row") > 1, F.col("y")))
     assert networks.blocks(rows, ["pid"], ["x"], "y", "row").agg(F.sum("n")).first()[0] == 4
     assert networks.blocks(rows.limit(0), ["pid"], ["x"], "y", "row").count() == 0
+
+
+def test_workers_get_few_blocks_at_a_time(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(networks, "HANDED", 50_000, raising=False)
+    net, name, sums, writes = NETS["forecast"], "spark.sql.execution.arrow.maxBytesPerBatch", networks.models.group_sums, networks.written
+    rows = spark.range(0, 200_000, numPartitions=1).select("id", *[F.array_repeat(F.lit(0.5), n).alias(c) for c, n in (("x", T), ("y", 3))])
+    data = networks.blocks(rows, [], ["x"], "y", "id", batches=2)
+    least, sizes = data.filter("batch = 0").count(), []
+
+    def watched(rows, keys, part):
+        def noted(some):
+            with open(tmp_path / "sizes", "a") as f:
+                f.write(f"{len(some)}\n")
+            return part(some)
+
+        return sums(rows, keys, noted)
+
+    def noted_write(df, *a):
+        sizes.append(spark.conf.get(name))
+        return writes(df, *a)
+
+    monkeypatch.setattr(networks.models, "group_sums", watched)
+    monkeypatch.setattr(networks, "written", noted_write)
+    table, _ = networks.fit(data, net, [], 1, 0.01)
+    assert least >= 10 and max(map(int, (tmp_path / "sizes").read_text().split())) == 1
+    assert networks.outputs(data, net, [], table).count() == 200_000 and sizes == ["50000"]
+    assert spark.conf.get(name, None) is None
