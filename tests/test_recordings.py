@@ -168,6 +168,12 @@ def test_two_signals_with_many_tags(spark, monkeypatch):
     same(spark, SF, catalog.QUERIES["q54_multimodal_windows"], catalog.ORACLE["q54_multimodal_windows"])
 
 
+def test_two_signals_with_few_tags_and_many_stretches(spark, monkeypatch):
+    # few enough to be counted as such, but what lies between them is too much to broadcast
+    monkeypatch.setattr(labels, "FEW_STRETCHES", 0)
+    same(spark, SF, catalog.QUERIES["q54_multimodal_windows"], catalog.ORACLE["q54_multimodal_windows"])
+
+
 def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
     # the sample ahead is a little below the mean, so its z rounds to minus zero
     events = spark.range(11).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int))").alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.when(F.col("id") == 10, 99.9999).otherwise(F.when(F.col("id") % 2 == 0, 50.0).otherwise(150.0)).alias("value"), F.lit("{}").alias("props"))
