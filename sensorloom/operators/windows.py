@@ -26,9 +26,10 @@ def windows(samples: DataFrame, step: int, horizon: int = 0, least_mean: float |
     """(pid, sid, s, t_start, x, yf, y, any, n, total, mean): windows of two panes of ``step`` samples (pid, sid, i, t, x, y), each ``step`` apart.
 
     Only full windows, followed by ``horizon`` more samples (at most ``step``; ValueError beyond), whose values are yf.  y is
-    the label that all samples share, else -1; any says whether one is 1.  Windows below ``least_mean`` are left out before
-    labels are looked at.  ``others`` are columns cut at the same places, into columns of their names and name_yf; their
-    t_last is the time of a window's last sample.
+    the label that all samples share, else -1; any says whether one is 1.  total is the sum of the panes' sums; mean is that
+    of the samples (nulls left out), added up in their order, since the last bit decides at a bound.  Windows below
+    ``least_mean`` are left out before labels are looked at.  ``others`` are columns cut at the same places, into columns of
+    their names and name_yf; their t_last is the time of a window's last sample.
     """
     if horizon > step:
         raise ValueError("the horizon is longer than a step")
@@ -43,13 +44,15 @@ def windows(samples: DataFrame, step: int, horizon: int = 0, least_mean: float |
     if horizon:
         full &= F.size("rows3") >= horizon
     total = F.col("total") + F.col("total2")
+    known = F.filter("x", F.isnotnull)
+    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(known), F.lit(0))
     low, high = F.least("low", "low2"), F.greatest("high", "high2")
     of = lambda c, x: F.transform(c, lambda v: v[x])
     ahead = F.slice(F.coalesce("rows3", F.slice("rows", 1, 0)), 1, max(horizon, 1))
     cut = [c for x in signals for c in (F.concat(of("rows", x), of("rows2", x)).alias(x), of(ahead, x).alias("yf" if x == "x" else f"{x}_yf"))]
     times = [F.col("t_last2").alias("t_last")] if others else []
     y = F.when((low == high) & (low != -1), low).otherwise(-1).alias("y")
-    out = two.filter(full).select("pid", "sid", (F.col("pane") * step).cast("long").alias("s"), "t_start", *times, *cut, y, (high == 1).alias("any"), F.lit(2 * step).alias("n"), total.alias("total"), (total / (2 * step)).alias("mean"))
+    out = two.filter(full).select("pid", "sid", (F.col("pane") * step).cast("long").alias("s"), "t_start", *times, *cut, y, (high == 1).alias("any"), F.lit(2 * step).alias("n"), total.alias("total")).withColumn("mean", mean)
     return out if least_mean is None else out.filter(F.col("mean") >= least_mean)
 
 

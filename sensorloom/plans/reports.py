@@ -41,7 +41,7 @@ def q68(spark, d):
 
 @query("q69_ordered_features", "SELECT pid, s, round(total / 10, 6) AS mean, row_number() OVER (PARTITION BY pid ORDER BY round(total / 10, 6) DESC, s) AS place FROM w ORDER BY pid, place")
 def q69(spark, d):
-    x = rounded(cut(spark, d).select("pid", "s", "mean"))
+    x = rounded(cut(spark, d).select("pid", "s", (F.col("total") / 10).alias("mean")))
     return x.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("mean"), "s")).cast("long")).orderBy("pid", "place")
 
 

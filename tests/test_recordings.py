@@ -180,3 +180,23 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     same(spark, str(tmp_path), catalog.QUERIES["q53_zscored_windows"], catalog.ORACLE["q53_zscored_windows"])
     assert str(catalog.QUERIES["q53_zscored_windows"](spark, str(tmp_path)).first().ahead) == "-0.0"
+
+
+def at_the_bound(spark, path):
+    """Events of users whose first ten values have a mean of 40: one by one they add up to a bit less for user 1 and a bit more for user 2, by fives to 400 for user 1 and a bit less for user 2."""
+    of = {
+        1: [42.5, 38.1, 53.7, 13.1, 12.7, 71.6, 61.0, 60.4, 43.5, 3.4, 9.0],
+        2: [14.8, 7.6, 42.7, 20.5, 34.3, 78.1, 71.1, 56.1, 39.8, 35.0, 9.0],
+        3: [40.5, 39.5, 30.0, 50.0, 40.0, 45.0, 35.0, 40.0, 60.0, 20.0, 9.0],
+    }
+    rows = [(100 * u + k, u, k, x) for u, v in of.items() for k, x in enumerate(v)]
+    ts = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 4 * k, k * k)")
+    events = spark.createDataFrame(rows, "event_id long, user_id long, k int, value double").select("event_id", ts.alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit("{}").alias("props"))
+    events.coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+def test_a_mean_at_the_bound_is_of_samples_in_their_order(spark, tmp_path):
+    at_the_bound(spark, tmp_path)
+    for name in ("q53_zscored_windows", "q57_windows_offbody_count", "q05_window_offbody_filter"):
+        same(spark, str(tmp_path), catalog.QUERIES[name], catalog.ORACLE[name])
+    assert sorted(r.pid for r in catalog.QUERIES["q53_zscored_windows"](spark, str(tmp_path)).collect()) == [2, 3]
