@@ -200,3 +200,12 @@ def test_a_mean_at_the_bound_is_of_samples_in_their_order(spark, tmp_path):
     for name in ("q53_zscored_windows", "q57_windows_offbody_count", "q05_window_offbody_filter"):
         same(spark, str(tmp_path), catalog.QUERIES[name], catalog.ORACLE[name])
     assert sorted(r.pid for r in catalog.QUERIES["q53_zscored_windows"](spark, str(tmp_path)).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_two_signals_of_windows_with_a_mean_at_the_bound(spark, tmp_path, monkeypatch, many):
+    if many:
+        many_tags(monkeypatch)
+    at_the_bound(spark, tmp_path)
+    same(spark, str(tmp_path), catalog.QUERIES["q54_multimodal_windows"], catalog.ORACLE["q54_multimodal_windows"])
+    assert sorted(r.pid for r in catalog.QUERIES["q54_multimodal_windows"](spark, str(tmp_path)).collect()) == [2, 3]
